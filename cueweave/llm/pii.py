@@ -29,16 +29,24 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 319, 229
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once and named, which keeps the expression small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel(values: Column, bases: Column, key: str, tweak: str, invert: bool = False) -> Column:
     """Permute array<int> values, each below its base. The bases must be the same for all values of a format."""
-    n = F.size(values)
-    half = F.floor(n / 2).cast("int")
-    state = F.struct(F.slice(values, F.lit(1), half).alias("a"), F.slice(bases, F.lit(1), half).alias("ab"), F.slice(values, half + 1, n - half).alias("b"), F.slice(bases, half + 1, n - half).alias("bb"))
+
+    def halves(v: Column) -> Column:
+        half = F.floor(F.size(v["v"]) / 2).cast("int")
+        return F.struct(F.slice(v["v"], F.lit(1), half).alias("a"), F.slice(v["m"], F.lit(1), half).alias("ab"), F.slice(v["v"], half + 1, F.size(v["v"])).alias("b"), F.slice(v["m"], half + 1, F.size(v["v"])).alias("bb"))
+
+    state = let(F.struct(values.alias("v"), bases.alias("m")), halves)
 
     def mixed(own: Column, own_bases: Column, other: Column, nth: Column, sign: int) -> Column:
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), nth.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
-        drawn = lambda i: F.conv(F.substr(digest, F.pmod(i, F.lit(16)) * 8 + 1, F.lit(8)), 16, 10).cast("long")
-        added = F.transform(own, lambda v, i: v.cast("long") + sign * F.pmod(drawn(i), F.get(own_bases, i)))
+        drawn = lambda d, i: F.conv(F.substr(d, F.pmod(i, F.lit(16)) * 8 + 1, F.lit(8)), 16, 10).cast("long")
+        added = let(digest, lambda d: F.transform(own, lambda v, i: v.cast("long") + sign * drawn(d, i)))
         return F.zip_with(added, own_bases, lambda v, b: F.pmod(v, b).cast("int"))
 
     def there(s: Column, nth: Column) -> Column:
@@ -48,8 +56,7 @@ def feistel(values: Column, bases: Column, key: str, tweak: str, invert: bool =
         return F.struct(mixed(s["b"], s["bb"], s["a"], nth, -1).alias("a"), s["bb"].alias("ab"), s["a"].alias("b"), s["ab"].alias("bb"))
 
     rounds = F.array(*(F.lit(i) for i in (range(ROUNDS, 0, -1) if invert else range(1, ROUNDS + 1))))
-    done = F.aggregate(rounds, state, back if invert else there)
-    return F.concat(done["a"], done["b"])
+    return F.aggregate(rounds, state, back if invert else there, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _chars(s: Column) -> Column:
@@ -70,16 +77,18 @@ def _written(v: Column, c: Column) -> Column:
 
 def permuted_string(s: Column, key: str, tweak: str, invert: bool = False) -> Column:
     """Permute the letters and digits of s within their classes; what is neither is left out of the permutation."""
-    alnum = F.regexp_replace(s, "[^A-Za-z0-9]", "")
-    cs = _chars(alnum)
-    new = F.zip_with(feistel(F.transform(cs, _value), F.transform(cs, _base), key, tweak, invert), cs, _written)
-    return F.when(F.length(alnum) == 0, s).when(F.length(alnum) == F.length(s), F.array_join(new, "")).otherwise(_threaded(new, s, "[A-Za-z0-9]"))
+    moved = lambda cs: F.zip_with(feistel(F.transform(cs, _value), F.transform(cs, _base), key, tweak, invert), cs, _written)
+    new = let(_chars(F.regexp_replace(s, "[^A-Za-z0-9]", "")), moved)
+    return F.when(s.rlike("[A-Za-z0-9]"), _threaded(new, s, "[A-Za-z0-9]")).otherwise(s)
 
 
 def _threaded(new: Column, s: Column, kind: str) -> Column:
     """The characters of `new` in place of those of s that are of the kind."""
-    step = lambda st, c: F.when(c.rlike(kind), F.struct((st["at"] + 1).alias("at"), F.concat(st["out"], F.get(new, st["at"])).alias("out"))).otherwise(F.struct(st["at"].alias("at"), F.concat(st["out"], c).alias("out")))
-    return F.aggregate(_chars(s), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)["out"]
+    def threaded(chars: Column) -> Column:
+        step = lambda st, c: F.struct((st["at"] + c.rlike(kind).cast("int")).alias("at"), F.concat(st["out"], F.when(c.rlike(kind), F.get(chars, st["at"])).otherwise(c)).alias("out"))
+        return F.aggregate(_chars(s), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda st: st["out"])
+
+    return let(new, threaded)
 
 
 def _digits(s: Column) -> Column:
@@ -111,57 +120,60 @@ def _day(s: Column) -> Column:
     return F.datediff(form.cast("date"), F.lit(FIRST_DAY).cast("date"))
 
 
-def valid(kind: Column, s: Column) -> Column:
-    octets = _octets(s)
-    ssn = F.split(s, "-")
+def valid(kind: str, s: Column) -> Column:
+    """Whether a match of the kind's pattern is a value of that kind."""
     digits = _digits(s)
-    return (
-        F.when(kind == "email", F.lit(True))
-        .when(kind == "iban", _mod97(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))) == 1)
-        .when(kind == "ip", F.forall(octets, lambda o: F.coalesce(o <= 255, F.lit(False))) & ~s.rlike(r"(^|\.)0[0-9]"))
-        .when(kind == "date", F.coalesce(_day(s).between(0, DAY_HIGH * DAY_LOW - 1), F.lit(False)))
-        .when(kind == "ssn", ~F.get(ssn, F.lit(0)).rlike("^(000|666|9..)$") & (F.get(ssn, F.lit(1)) != "00") & (F.get(ssn, F.lit(2)) != "0000"))
-        .when(kind == "phone", F.length(digits).between(8, 15))
-        .when(kind == "card", (luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"))
-        .otherwise(False)
-    )
+    if kind == "iban":
+        return _mod97(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))) == 1
+    if kind == "ip":
+        return F.forall(_octets(s), lambda o: F.coalesce(o <= 255, F.lit(False))) & ~s.rlike(r"(^|\.)0[0-9]")
+    if kind == "date":
+        return F.coalesce(_day(s).between(0, DAY_HIGH * DAY_LOW - 1), F.lit(False))
+    if kind == "ssn":
+        return ~s.rlike("^(000|666|9)|-00-|-0000$")
+    if kind == "phone":
+        return F.length(digits).between(8, 15)
+    if kind == "card":
+        return let(digits, lambda d: (luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"))
+    return F.lit(True)
+
+
+def replaced(kind: str, s: Column, key: str, invert: bool) -> Column:
+    """The pseudonym of a valid value."""
+    number = lambda d, at, n: F.substr(d, F.lit(at), F.lit(n)).try_cast("int")
+    pair = lambda m, i: F.get(m, F.lit(i))
+    if kind == "email":
+        return F.concat(permuted_string(F.substring_index(s, "@", 1), key, kind, invert), F.lit("@"), F.substring_index(s, "@", -1))
+    if kind == "iban":
+        country = F.substr(s, F.lit(1), F.lit(2))
+        check = lambda b: F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+        return let(permuted_string(F.substr(s, F.lit(5)), key, kind, invert), lambda b: F.concat(country, check(b), b))
+    if kind == "ip":
+        return F.array_join(feistel(_octets(s), F.array_repeat(F.lit(256), 4), key, kind, invert).cast("array<string>"), ".")
+    if kind == "date":
+        moved = let(_day(s), lambda d: feistel(F.array(F.floor(d / DAY_LOW).cast("int"), d % DAY_LOW), F.array(F.lit(DAY_HIGH), F.lit(DAY_LOW)), key, kind, invert))
+        new = let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), pair(m, 0) * DAY_LOW + pair(m, 1)))
+        return let(new, lambda d: F.when(F.contains(s, F.lit("-")), F.date_format(d, "yyyy-MM-dd")).when(F.contains(s, F.lit("/")), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
+    if kind == "ssn":
+        index = lambda d: F.array(number(d, 1, 3) - 1 - (number(d, 1, 3) > 666).cast("int"), number(d, 4, 2) - 1, number(d, 6, 4) - 1)
+        moved = feistel(let(_digits(s), index), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, kind, invert)
+        return let(moved, lambda m: F.format_string("%03d-%02d-%04d", pair(m, 0) + 1 + (pair(m, 0) >= 665).cast("int"), pair(m, 1) + 1, pair(m, 2) + 1))
+    if kind == "phone":
+        lead = F.regexp_extract(s, r"^\+(?:1[ .-]?(?=\(|[0-9]{3}[ .-])|[0-9]{1,3}[ .-]|[0-9]{2})", 0)
+        return let(lead, lambda x: F.concat(x, permuted_string(F.substr(s, F.length(x) + 1), key, kind, invert)))
+    stem = let(_digits(s), lambda d: permuted_string(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", invert))
+    whole = let(stem, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+    return _threaded(_chars(whole), s, "[0-9]")
 
 
-def kind_of(s: Column) -> Column:
-    """The first kind whose whole pattern a match has."""
-    out = F.lit(None).cast("string")
+def pseudonym(s: Column, key: str, invert: bool = False) -> Column:
+    """The pseudonym of a matched value, by the first kind whose pattern it has; itself where that kind's validation fails."""
+    out = s
     for kind in reversed(PATTERNS):
-        bare = PATTERNS[kind]
-        out = F.when(s.rlike(rf"\A(?:{bare})\z"), kind).otherwise(out)
+        out = F.when(s.rlike(rf"\A(?:{PATTERNS[kind]})\z"), F.when(valid(kind, s), replaced(kind, s, key, invert)).otherwise(s)).otherwise(out)
     return out
 
 
-def pseudonym(s: Column, key: str, invert: bool = False) -> Column:
-    """The pseudonym of a matched value, or the value itself where its kind's validation fails."""
-    kind = kind_of(s)
-    digits = _digits(s)
-    at = F.regexp_extract(s, "^[^@]+", 0)
-    email = F.concat(permuted_string(at, key, "email", invert), F.substr(s, F.length(at) + 1))
-    country, body = F.substr(s, F.lit(1), F.lit(2)), permuted_string(F.substr(s, F.lit(5)), key, "iban", invert)
-    iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
-    ip = F.array_join(feistel(_octets(s), F.array_repeat(F.lit(256), 4), key, "ip", invert).cast("array<string>"), ".")
-    day = _day(s)
-    moved = feistel(F.array(F.floor(day / DAY_LOW).cast("int"), (day % DAY_LOW).cast("int")), F.array(F.lit(DAY_HIGH), F.lit(DAY_LOW)), key, "date", invert)
-    new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(moved, F.lit(0)) * DAY_LOW + F.get(moved, F.lit(1)))
-    date = F.when(F.contains(s, F.lit("-")), F.date_format(new_day, "yyyy-MM-dd")).when(F.contains(s, F.lit("/")), F.date_format(new_day, "MM/dd/yyyy")).otherwise(F.date_format(new_day, "dd.MM.yyyy"))
-    area = F.substr(digits, F.lit(1), F.lit(3)).try_cast("int")
-    parts = feistel(F.array(area - 1 - (area > 666).cast("int"), F.substr(digits, F.lit(4), F.lit(2)).try_cast("int") - 1, F.substr(digits, F.lit(6), F.lit(4)).try_cast("int") - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn", invert)
-    new_area = F.get(parts, F.lit(0)) + 1 + (F.get(parts, F.lit(0)) >= 665).cast("int")
-    ssn = F.format_string("%03d-%02d-%04d", new_area, F.get(parts, F.lit(1)) + 1, F.get(parts, F.lit(2)) + 1)
-    lead = F.regexp_extract(s, r"^\+(?:1[ .-]?(?=\(|[0-9]{3}[ .-])|[0-9]{1,3}[ .-]|[0-9]{2})", 0)
-    phone = F.concat(lead, permuted_string(F.substr(s, F.length(lead) + 1), key, "phone", invert))
-    stem = permuted_string(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", invert)
-    card_digits = F.concat(stem, F.pmod(-luhn_sum(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string"))
-    card = F.when(digits == s, card_digits).otherwise(_threaded(_chars(card_digits), s, "[0-9]"))
-    new = F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "phone", phone).otherwise(card)
-    return F.when(valid(kind, s), new).otherwise(s)
-
-
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, invert: bool = False) -> DataFrame:
     """docs with valid values in text_col replaced; other columns and null texts stay as they are.
 
@@ -170,10 +182,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(text_col)
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(matches, lambda m: pseudonym(m, key, invert))
-    joined = F.array_join(F.zip_with(F.split(text, ANY), F.concat(F.col("__new"), F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")
-    out = docs.withColumn("__new", F.when(text.rlike("[0-9@]"), new))
+    both = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, key, invert).alias("new")))
+
+    def rebuilt(m: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(text, ANY), F.transform(m, lambda p: p["new"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+        n = F.size(F.filter(m, lambda p: p["old"] != p["new"])).cast("long")
+        return F.struct(joined.alias("text"), n.alias("n"))
+
+    held = next(f"held{i}" for i in range(len(docs.columns) + 1) if f"held{i}" not in docs.columns)
+    out = docs.withColumn(held, F.when(text.rlike("[0-9@]"), let(both, rebuilt)))
     if count_col:
-        n = F.size(F.filter(F.arrays_zip(F.col("__new").alias("new"), matches.alias("old")), lambda p: p["new"] != p["old"]))
-        out = out.withColumn(count_col, F.when(F.col("__new").isNull(), F.lit(0)).otherwise(n).cast("long"))
-    return out.withColumn(text_col, F.when(F.coalesce(F.size("__new") > 0, F.lit(False)), joined).otherwise(text)).drop("__new")
+        out = out.withColumn(count_col, F.coalesce(F.col(held)["n"], F.lit(0).cast("long")))
+    return out.withColumn(text_col, F.coalesce(F.col(held)["text"], text)).drop(held)
