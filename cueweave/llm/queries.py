@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hmm, pii, quality, secret_scan, simhash, tokens
+from . import chat, decontam, hmm, licenses, mixing, pii, quality, secret_scan, simhash, tokens
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("fp", 1)), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 #: The production key comes from the job's settings; this one is for queries and tests.
 PII_KEY = "a key for tests"
 
@@ -68,9 +80,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decontam": op2_decontam,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
+    "op6_licenses": op6_licenses,
+    "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_hmm": op9_hmm,
     "op10_tokens": op10_tokens,
