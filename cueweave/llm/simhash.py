@@ -18,7 +18,7 @@ Keys with more than `chunk` nodes are cut into chunks, and pairs of chunks are c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,23 +204,42 @@ def split_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def sampled_keys(fp: Column, width: int, tables: int = 32, key_bits: int = 16) -> Column:
-    """`tables` keys of key_bits bits, each a fixed sample of the fingerprint's bits."""
+def sampled_keys(width: int, tables: int = 32, key_bits: int = 16) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from fingerprints [n, longs] to keys [n, tables], each of key_bits bits drawn once from all of them.
+
+    Not an expression: one of tables times key_bits terms would burden every plan that holds it.
+    """
     draw = np.random.default_rng(SEED)
-    keys = []
-    for t in range(tables):
-        spots = sorted(draw.choice(width, key_bits, replace=False).tolist())
-        key = F.lit(t).cast("long")
-        for p in spots:
-            key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned(F.element_at(fp, p // 64 + 1), p % 64).bitwiseAND(F.lit(1).cast("long")))
-        keys.append(key)
-    return F.array(*keys)
+    spots = [np.sort(draw.choice(width, key_bits, replace=False)) for _ in range(tables)]
+    weight = 1 << np.arange(key_bits, dtype=np.int64)
+
+    def keys(fps: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        return np.stack([(t << 32) + bits[:, at].astype(np.int64) @ weight for t, at in enumerate(spots)], 1)
+
+    return keys
+
+
+def _keyed(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, fp, key): a row for each node and key."""
+    if isinstance(keys, Column):
+        return nodes.select("node", "fp", F.explode(keys).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                found = keys(batch.column("fp").flatten().to_numpy().reshape(batch.num_rows, -1))
+                take = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("fp").take(take), pa.array(found.ravel())], names=["node", "fp", "key"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "node bigint, fp array<bigint>, key bigint")
 
 
-def links(nodes: DataFrame, keys: Column, radius: int, chunk: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray], radius: int, chunk: int = 4096) -> DataFrame:
     """nodes (node bigint, fp array<bigint>), distinct. Returns (a, b): a spanning forest of each key's links."""
-    keyed = nodes.select("node", "fp", F.explode(keys).alias("key"))
-    hot = nodes.select(F.explode(keys).alias("key")).groupBy("key").count().where(F.col("count") > chunk)
+    keyed = _keyed(nodes, keys)
+    hot = keyed.groupBy("key").count().where(F.col("count") > chunk)
     hot = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     keyed = keyed.join(hot, F.col("key") == F.col("hot_key"), "left")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -291,7 +310,7 @@ def near_duplicate_components(
     else:  # wide fingerprints are named by a hash; two that share one would only be compared as one more link
         nodes = nodes.withColumn("node", F.xxhash64("fp"))
     nodes = cut(nodes)
-    keys = split_keys(F.col("fp")) if width == 64 and radius <= 3 else sampled_keys(F.col("fp"), width, tables, key_bits)
+    keys = split_keys(F.col("fp")) if width == 64 and radius <= 3 else sampled_keys(width, tables, key_bits)
     roots = cut(components(links(nodes.select("node", "fp"), keys, radius)))
     rooted = nodes.join(roots, "node", "left").select("fp", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
