@@ -180,7 +180,9 @@ def fit(measures: DataFrame, labels: DataFrame, label_col: str = "quality", most
         known = known.where(F.pmod(F.xxhash64("of_id"), F.lit(1 << 30)) < int(0.95 * most_rows / there * (1 << 30)))
     sample = measures.join(known, F.col("doc_id") == F.col("of_id")).select("y", "features").limit(most_rows).toPandas()
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), len(FEATURES))
-    return train(x, sample["y"].to_numpy(float))
+    y = sample["y"].to_numpy(float)
+    order = np.lexsort([y, *x.T])  # rows come in any order; sums and so trees must not depend on it
+    return train(x[order], y[order])
 
 
 def judged(measures: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
