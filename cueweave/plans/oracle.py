@@ -105,5 +105,5 @@ SQL: dict[str, str] = {
     "q29_median_gap": f"WITH {_TIMELINE}, g AS (SELECT session_id, s - lag(e) OVER (PARTITION BY session_id ORDER BY s, e) AS gap FROM t) SELECT session_id, count(gap) AS n_gaps, round(median(gap), 3) AS median_gap FROM g WHERE gap IS NOT NULL GROUP BY 1",
     "q30_cache_misses": "SELECT DISTINCT (l_partkey % 997) || '-' || l_linenumber AS cache_key FROM lineitem WHERE (l_partkey % 997) || '-' || l_linenumber NOT IN (SELECT (p_partkey % 997) || '-' || (p_size % 5) FROM part)",
     "q31_segment_usage": "WITH x AS (SELECT l_orderkey AS line_id, l_suppkey AS session_id, CAST(l_linenumber + d AS BIGINT) AS base_index FROM lineitem, (VALUES (0), (1)) v(d)) SELECT session_id, base_index, count(DISTINCT line_id) AS n_lines, bool_or(line_id = 7) AS used_here, bool_or(line_id <> 7) AS used_elsewhere FROM x GROUP BY 1, 2",
-    "q32_edit_sources": "WITH RECURSIVE r AS (SELECT c_custkey AS segment_id, c_custkey AS at, 0 AS steps FROM customer UNION ALL SELECT segment_id, CAST(floor(at / 3) AS BIGINT), steps + 1 FROM r WHERE at > 0) SELECT segment_id, at AS source_id, CAST(steps AS BIGINT) AS steps FROM r WHERE at = 0",
+    "q32_edit_sources": "WITH RECURSIVE r AS (SELECT c_custkey AS segment_id, c_custkey AS a, 0 AS steps FROM customer UNION ALL SELECT segment_id, CAST(floor(a / 3) AS BIGINT), steps + 1 FROM r WHERE a > 0) SELECT segment_id, a AS source_id, CAST(steps AS BIGINT) AS steps FROM r WHERE a = 0",
 }

@@ -295,12 +295,11 @@ def q33_aligned_takes(spark: SparkSession, d: str) -> DataFrame:
 
 def q34_fidelity(spark: SparkSession, d: str) -> DataFrame:
     """Ordered agreement of each turn with the turn before it in its conversation."""
-    t = takes(spark, d)
-    pairs = t.withColumn("before", F.lag("transcript").over(W.partitionBy("session_id").orderBy("base_index"))).where("before is not null")
-    clauses = T.clauses(F.col("before"))
-    folded = F.transform(clauses, lambda c: T.folded(c))
-    counts = F.transform(clauses, lambda c: T.word_count(c))
-    out = pairs.select("segment_id", fuzzy.fidelity_of(T.folded(F.col("before")), T.folded(F.col("transcript"))).alias("f"), fuzzy.sentence_fidelity_of(folded, counts, T.folded(F.col("transcript"))).alias("s"))
+    clauses = T.clauses(F.col("transcript"))
+    said = F.struct(T.folded(F.col("transcript")).alias("folded"), F.transform(clauses, lambda c: T.folded(c)).alias("clauses"), F.transform(clauses, lambda c: T.word_count(c)).alias("counts"))
+    t = takes(spark, d).select("session_id", "base_index", "segment_id", said.alias("said"))
+    pairs = t.withColumn("before", F.lag("said").over(W.partitionBy("session_id").orderBy("base_index"))).where("before is not null")
+    out = pairs.select("segment_id", fuzzy.fidelity_of(F.col("before.folded"), F.col("said.folded")).alias("f"), fuzzy.sentence_fidelity_of(F.col("before.clauses"), F.col("before.counts"), F.col("said.folded")).alias("s"))
     return rounded(out.select("segment_id", "f.ordered_similarity", "f.token_coverage", "f.token_precision", "f.extra_word_count", "s.clause_count", "s.missing_clause_count", "s.minimum_clause_score"))
 
 
