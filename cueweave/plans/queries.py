@@ -299,6 +299,7 @@ def q34_fidelity(spark: SparkSession, d: str) -> DataFrame:
     said = F.struct(T.folded(F.col("transcript")).alias("folded"), F.transform(clauses, lambda c: T.folded(c)).alias("clauses"), F.transform(clauses, lambda c: T.word_count(c)).alias("counts"))
     t = takes(spark, d).select("session_id", "base_index", "segment_id", said.alias("said"))
     pairs = t.withColumn("before", F.lag("said").over(W.partitionBy("session_id").orderBy("base_index"))).where("before is not null")
+    pairs = pairs.repartition(64, "segment_id")  # the alignments cost far more than moving the rows
     out = pairs.select("segment_id", fuzzy.fidelity_of(F.col("before.folded"), F.col("said.folded")).alias("f"), fuzzy.sentence_fidelity_of(F.col("before.clauses"), F.col("before.counts"), F.col("said.folded")).alias("s"))
     return rounded(out.select("segment_id", "f.ordered_similarity", "f.token_coverage", "f.token_precision", "f.extra_word_count", "s.clause_count", "s.missing_clause_count", "s.minimum_clause_score"))
 
