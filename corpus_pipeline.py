@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueweave.llm import decontam, mixing, pii, quality, simhash
+from cueweave.llm import decontam, jaccard, mixing, pii, quality
 from cueweave.llm.common import shared_folder, table
 from cueweave.llm.queries import PII_KEY
 
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose sets of five-word shingles are similar by 0.8 or more, the one with the smallest id stays."""
-    return simhash.keep_one(docs, **simhash.FIVE_WORDS)
+    return jaccard.keep_one(docs, shingle=5, least=0.8)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
