@@ -318,13 +318,6 @@ def near_duplicate_components(
     return fps.join(by_fp, F.col("fp") == F.col("of_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-#: Parameters for sets of five-word shingles of similarity 0.8 or more. At a Jaccard similarity of 0.8 two
-#: fingerprints differ in 15% of their bits on average; 52 of 256 lie 2.3 standard deviations above, and a pair at the
-#: average meets in one of 48 tables with probability 0.99. Keys hold more nodes as the corpus grows: beyond some 100 GB
-#: take more key bits, and more tables for the same recall.
-FIVE_WORDS = {"shingle": 5, "width": 256, "radius": 52, "tables": 48, "key_bits": 14}
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents without those that a document with a smaller id is linked to; columns as given.
 

@@ -56,3 +56,13 @@ def test_copies_below_the_stated_similarity_stay(spark):
         texts += [" ".join(base), " ".join(copy)]
     assert all(0.65 < similarity(a, b) < 0.75 for a, b in zip(texts[::2], texts[1::2]))
     assert stage(spark, texts) == set(range(40))
+
+
+def test_repeated_passages_count_once(spark):
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(20):
+        base = [f"w{k}" for k in draw.choice(5000, 240)]
+        texts += [" ".join(base), " ".join(base + base[100:130] * 4)]
+    assert all(similarity(a, b) > 0.95 for a, b in zip(texts[::2], texts[1::2]))
+    assert stage(spark, texts) == set(range(0, 40, 2))
