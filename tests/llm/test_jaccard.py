@@ -66,3 +66,17 @@ def test_repeated_passages_count_once(spark):
         texts += [" ".join(base), " ".join(base + base[100:130] * 4)]
     assert all(similarity(a, b) > 0.95 for a, b in zip(texts[::2], texts[1::2]))
     assert stage(spark, texts) == set(range(0, 40, 2))
+
+
+def test_every_pair_at_the_stated_similarity_is_linked(spark, monkeypatch):
+    texts = near_copies()
+    want = kept_by_brute_force(texts)
+    assert 70 < len(want) < len(texts) - 20
+    assert stage(spark, texts) == want
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)  # the shared passage is common then
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    sets = jaccard._sets(docs, "doc_id", "text", 5).cache()
+    for chunk in (4, 1024):
+        pairs = jaccard.similar_links(sets, 0.8, chunk=chunk)
+        linked = jaccard.components(pairs).where("node <> root").count()
+        assert sets.select("node").distinct().count() - linked == len(want)
