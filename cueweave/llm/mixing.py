@@ -2,16 +2,19 @@
 
 A source's documents are put in a fixed pseudo-random order and cut into blocks. Block i of a source of weight w (the
 weights of a round sum to one) is released at slot floor(i / w) and due by slot ceil((i + 1) / w); each slot goes to the
-released block that is due first. On one processor that meets every deadline, so that at any slot t a source has
-had less than one block more or less than w t. With whole-number weights q of sum P the schedule repeats every P slots:
-one period is worked out here and a block's slot follows by arithmetic, whatever the number of blocks. When a source
-runs out, the rest go on in a new phase by their weights; no document is dropped or repeated.
+released block that is due first. On one processor that meets every deadline, so that at any slot t of a phase a source
+has had less than one block more or less than w t. Weights are taken as the exact rationals that they are, as whole
+numbers q of sum P: the schedule repeats every P slots, and a block's slot follows by arithmetic. A period that is longer
+than the phase is worked out slot by slot only as far as the phase goes. When a source runs out, the rest go on in a new
+phase by their weights; no document is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +23,11 @@ from pyspark.sql import Window as W
 BUCKET_BITS = 12
 
 
-def period(shares: list[int]) -> list[int]:
-    """The source of each slot of a period: earliest deadline first, the first source where deadlines tie."""
+def period(shares: list[int], blocks: list[int] | None = None) -> list[int]:
+    """The source of each slot of a period: earliest deadline first, the first source where deadlines tie.
+
+    With blocks, how many each source has, it ends early once a source that it has served has no more.
+    """
     total = sum(shares)
     waiting = [(0, s, 0) for s, q in enumerate(shares) if q]  # release, source, block
     heapq.heapify(waiting)
@@ -33,26 +39,42 @@ def period(shares: list[int]) -> list[int]:
             heapq.heappush(ready, (-(-(i + 1) * total // shares[s]), s, i))
         due, s, i = heapq.heappop(ready)
         out.append(s)
+        if blocks and i + 1 == blocks[s]:
+            break
         if i + 1 < shares[s]:
             heapq.heappush(waiting, ((i + 1) * total // shares[s], s, i + 1))
     return out
 
 
+def exact_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in the very proportions of the weights, without a common divisor; equal ones if all are zero."""
+    exact = [Fraction(w) for w in weights]
+    if not any(exact):
+        return [1] * len(exact)
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    least = math.gcd(*whole)
+    return [w // least for w in whole]
+
+
 def whole_shares(weights: list[float], total: int) -> list[int]:
-    """Whole numbers near the weights that sum to total, each at least 1, by largest remainders."""
+    """The whole numbers nearest to the weights that sum to total, by largest remainders, but each at least 1."""
     if total < len(weights):
         raise ValueError("a period must have a slot for every source")
-    room, whole = total - len(weights), sum(weights)
-    exact = [room * w / whole if whole else room / len(weights) for w in weights]
-    out = [1 + int(x) for x in exact]
-    for s in sorted(range(len(weights)), key=lambda s: (int(exact[s]) - exact[s], s))[: total - sum(out)]:
-        out[s] += 1
+    whole = sum(weights)
+    exact = [total * w / whole if whole else total / len(weights) for w in weights]
+    out = [max(1, int(x)) for x in exact]
+    while (missing := total - sum(out)) > 0:
+        for s in sorted(range(len(out)), key=lambda s: (out[s] - exact[s], s))[:missing]:
+            out[s] += 1
+    while sum(out) > total:
+        out[max((s for s in range(len(out)) if out[s] > 1), key=lambda s: (out[s] - exact[s], -s))] -= 1
     return out
 
 
 @dataclass
 class Phase:
-    """Slots begin to begin + slots, in periods of `pattern`; first[s]: blocks that source s had before."""
+    """Slots begin to begin + slots, in periods of `pattern`, or of its beginning; first[s]: blocks that source s had before."""
 
     begin: int
     slots: int
@@ -66,8 +88,8 @@ def phases(blocks: list[int], shares: list[int]) -> list[Phase]:
     left, done, begin, out = list(blocks), [0] * len(blocks), 0, []
     while any(left):
         mine = [q if n else 0 for q, n in zip(shares, left)]
-        pattern = period(mine)
         rounds = min(n // q for n, q in zip(left, mine) if q)
+        pattern = period(mine, None if rounds else left)
         first = list(done)
         for s, q in enumerate(mine):
             left[s] -= rounds * q
@@ -85,14 +107,15 @@ def phases(blocks: list[int], shares: list[int]) -> list[Phase]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = 16, slots_a_period: int = 1000, names: tuple[str, str] = ("slot", "place")) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = 16, slots_a_period: int | None = None, names: tuple[str, str] = ("slot", "place")) -> DataFrame:
     """docs with the slot of each row's block and the row's place in it: reading by (slot, place) is the mixture.
 
     weights: by source, relative; sources that it lacks take the least weight given. Without weights a source weighs
     its number of rows to the given power. A null source is a source like others; rows that repeat get places of
-    their own; an empty table stays empty. Counts of sources and hash buckets alone reach the driver: there must be
-    fewer sources than slots in a period. A source's rows are numbered in 4096 hash buckets, so that one source with a
-    third of all rows is many groups.
+    their own; an empty table stays empty. slots_a_period rounds the weights to whole shares of so many slots, which must
+    be no fewer than the sources; without it the weights are kept exactly. The sources' counts alone reach the driver,
+    but unless the weights have a short period it works out every slot: a number for each block, sent with the plan. A
+    source's rows are numbered in 4096 hash buckets, so that one source with a third of all rows is many groups.
     """
     slot, place = names
     if {slot, place} & set(docs.columns):
@@ -111,7 +134,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_c
         if any(w <= 0 for w in weights.values()):
             raise ValueError("weights must be positive")
         wanted = [weights.get(s, min(weights.values())) for s, _ in totals]
-    shares = whole_shares(wanted, slots_a_period)
+    shares = exact_shares(wanted) if slots_a_period is None else whole_shares(wanted, slots_a_period)
     plan = []
     for p in phases([-(-n // block) for _, n in totals], shares):
         spots: list[list[int]] = [[] for _ in totals]
@@ -121,7 +144,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_c
         rounds, rest = divmod(p.slots, len(p.pattern))
         for s in p.pattern[:rest]:
             had[s] += 1
-        plan += [(totals[s][0], p.first[s], p.first[s] + rounds * p.shares[s] + had[s], p.begin, len(p.pattern), spots[s]) for s in range(len(totals)) if p.shares[s]]
+        plan += [(totals[s][0], p.first[s], p.first[s] + rounds * len(spots[s]) + had[s], p.begin, len(p.pattern), spots[s]) for s in range(len(totals)) if spots[s]]
     kind = docs.schema[source_col].dataType.simpleString()
     table = spark.createDataFrame(plan, f"of {kind}, low long, high long, begin long, period long, spots array<int>")
     order = W.partitionBy("of").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -130,7 +153,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_c
     ties = [] if "map<" in docs.select(whole).dtypes[0][1] else ["row"]
     within = W.partitionBy("source", "bucket").orderBy("key", *ties)
     src = src.withColumn("nth", F.col("before") + F.row_number().over(within) - 1).withColumn("rank", F.floor(F.col("nth") / block))
-    # One row for each source and phase, of which there are fewer than sources squared; its spots sum to a period.
+    # One row for each phase and source that it serves; a phase's spots are its pattern's slots.
     src = src.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at, each = F.col("rank") - F.col("low"), F.size("spots")
     found = F.col("begin") + F.floor(at / each) * F.col("period") + F.get("spots", (at % each).cast("int"))

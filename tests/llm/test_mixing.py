@@ -73,3 +73,19 @@ def test_edges(spark, tmp_path):
     mixing.write_mixed(mixing.mixed(many, block=4), f"{tmp_path}/m", 2)
     back = [(r["slot"], r["place"]) for r in spark.read.parquet(f"{tmp_path}/m").collect()]
     assert len(back) == 100 == len(set(back))
+
+
+def test_deviation_from_the_given_weights_with_many_sources(spark):
+    heavy = [3000 if s == 0 else 300 + 7 * s for s in range(20)]
+    wanted = [float(n) ** 0.5 for n in heavy]
+    p = mixing.phases(heavy, mixing.exact_shares(wanted))[0]
+    had = [0] * 20
+    for t in range(p.slots):
+        had[p.pattern[t % len(p.pattern)]] += 1
+        assert all(abs(had[s] - w / sum(wanted) * (t + 1)) < 1 for s, w in enumerate(wanted))
+    assert p.slots > 3000
+    assert mixing.whole_shares([19.0, *[1.0] * 19], 1000)[0] == 500
+    rows = [(i, "big") for i in range(200)] + [(1000 + i, f"s{i}") for i in range(1100)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), {"big": 1100, "s0": 1}, block=4).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == sorted(rows)
+    assert sorted({r["slot"] for r in got}) == list(range(50 + 1100))
