@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The benchmark's items are taken in blocks of bounded size. The corpus frequency of a block's word 3-grams is counted
-over all documents; of every few neighbouring grams of an item the rarest becomes a seed, so that seeds are rare and
-yet spread over the whole item. Documents with enough seeds of an item on near diagonals are aligned with it word by
-word, and the local alignment's share of the item's best score is reported. Blocks are a stated query set against
-all documents; each is one more pass over them, and nothing is shuffled but the counts.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
+
+An alignment with a share s of the best score of an item of n words matches at least s n of the item's words within
+(3 - 2 s) n words of the document, since every edit costs half a match. So of any r words of the item at least
+r - (n - s n) are matched there. The item's rarest r words, by a count over all documents, are its seeds: documents
+with so many of them near each other are aligned with the item word by word, and no others can hold it. The items are
+taken in blocks of bounded size: a stated query set against all documents; each block is one more pass over them, and
+nothing is shuffled but the counts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,46 +20,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices
-from .grams import WORD, GramIndex, by_text, clusters, plain_words, smith_waterman
+from .grams import WORD, GramIndex, plain_words, smith_waterman
 
-N = 3
-EVERY = 3  # of so many neighbouring grams one is a seed
+SPARE = 4  # an item has a quarter of its words as seeds beyond those that an alignment can miss
 ITEMS_A_BLOCK = 10_000
 
 
 class Seeds:
-    def __init__(self, items: list[tuple], counts: dict[int, int] | None = None):
-        """items: (id, words). counts: documents that hold a gram, by its number."""
+    def __init__(self, items: list[tuple], counts: dict[int, int] | None = None, least_score: float = 0.5):
+        """items: (id, words). counts: documents that hold a word, by its number."""
         self.items = [i for i in items if i[1]]
-        self.index = GramIndex([w for _, w in self.items], N)
-        self.counts = counts or {}
-        at = defaultdict(list)
-        self.least = []
-        for k, grams in enumerate(self.index.grams):
-            chosen = [min(range(b, min(b + EVERY, len(grams))), key=lambda p: (self.counts.get(int(grams[p]), 0), p)) for b in range(0, len(grams), EVERY)]
-            for p in chosen:
-                at[int(grams[p])].append((k, p))
-            self.least.append(min(2, len({int(grams[p]) for p in chosen})))
-        self.keys = np.array(sorted(at), np.int64)
-        self.places = [at[int(k)] for k in self.keys]
+        self.index = GramIndex([w for _, w in self.items], 1)
+        counts = counts or {}
+        need, span, seeds = [], [], []
+        for k, ids in enumerate(self.index.ids):
+            n = len(ids)
+            missed = n - math.ceil(least_score * n - 1e-9)
+            numbers, times = np.unique(ids, return_counts=True)
+            order = sorted(range(len(numbers)), key=lambda i: (counts.get(int(numbers[i]), 0), int(numbers[i])))
+            many = np.cumsum(times[order])
+            last = int(np.searchsorted(many, min(n, missed + 1 + n // SPARE)))
+            need.append(max(1, int(many[last]) - missed))
+            span.append(max(n, math.floor((3 - 2 * least_score) * n + 1e-9)))
+            seeds += [(int(numbers[i]), k) for i in order[: last + 1]]
+        seeds.sort()
+        self.need, self.span = np.array(need, np.int64), np.array(span, np.int64)
+        self.items_of = np.array([k for _, k in seeds], np.int64)
+        self.starts = np.searchsorted(np.array([w for w, _ in seeds], np.int64), np.arange(len(self.index.number) + 2))
+
+    def regions(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, begin, end): the stretches of a document that hold every alignment with the item."""
+        first, many = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        place = np.repeat(np.arange(len(ids)), many)
+        if not len(place):
+            return []
+        within = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+        item = self.items_of[np.repeat(first, many) + within]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        to = np.arange(len(item)) + self.need[item] - 1
+        at = np.flatnonzero(to < len(item))
+        to = to[at]
+        near = (item[to] == item[at]) & (place[to] - place[at] < self.span[item[at]])
+        out: list[tuple[int, int, int]] = []
+        for k, low, high in zip(item[at[near]].tolist(), place[at[near]].tolist(), place[to[near]].tolist()):
+            begin, end = max(0, low - int(self.span[k])), min(len(ids), high + int(self.span[k]) + 1)
+            if out and out[-1][0] == k and begin <= out[-1][2]:
+                out[-1] = (k, out[-1][1], max(end, out[-1][2]))
+            else:
+                out.append((k, begin, end))
+        return out
 
     def matches(self, text: str | None, least_score: float) -> list[tuple]:
         """(item id, score, begin, end) in code points of text, the best of each item."""
         words = plain_words(text)
         ids = self.index.numbers(words)
-        pos, place = self.index.find(ids, self.keys)
-        hits = [(k, at, int(p)) for p, s in zip(pos, place) for k, at in self.places[s]]
         found: dict = {}
-        for k, diagonals in by_text(hits).items():
+        for k, begin, end in self.regions(ids):
             item = self.index.ids[k]
-            slack = max(8, len(item) // 4)
-            for low, high in clusters(diagonals, slack, self.least[k]):
-                begin, end = max(0, low - slack), min(len(ids), high + len(item) + slack)
-                score, b, e = smith_waterman(item, ids[begin:end])
-                score = score / (2 * len(item))
-                name = self.items[k][0]
-                if score >= least_score and (name not in found or score > found[name][0]):
-                    found[name] = (score, begin + b, begin + e)
+            score, b, e = smith_waterman(item, ids[begin:end])
+            score = score / (2 * len(item))
+            name = self.items[k][0]
+            if score >= least_score and (name not in found or score > found[name][0]):
+                found[name] = (score, begin + b, begin + e)
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
@@ -68,7 +92,7 @@ class Seeds:
 
 
 def gram_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
-    """How many documents hold each gram of the block: one row for each gram that any holds."""
+    """How many documents hold each word of the block: one row for each word that any holds."""
     index = seeds.index
     known = index.known
 
@@ -85,15 +109,15 @@ def gram_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in rows}
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int) -> Iterator[Seeds]:
+def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, least_score: float) -> Iterator[Seeds]:
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     many = -(-items.count() // size)
     for b in range(many):
         mine = items if many == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b)
         found = sorted(((r["item_id"], plain_words(r["text"])) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))
-        seeds = Seeds(found)
+        seeds = Seeds(found, None, least_score)
         if seeds.items:
-            yield Seeds(found, gram_counts(docs, seeds))
+            yield Seeds(found, gram_counts(docs, seeds), least_score)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = 0.5, block: int = ITEMS_A_BLOCK) -> DataFrame:
@@ -123,13 +147,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return src.mapInArrow(run, schema)
 
-    parts = [scan(s) for s in blocks(src, benchmark, item_col, item_text_col, block)]
+    parts = [scan(s) for s in blocks(src, benchmark, item_col, item_text_col, block, least_score)]
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = 0.5, block: int = ITEMS_A_BLOCK) -> DataFrame:
     """The rows of docs that hold no item, columns as given."""
-    for seeds in blocks(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col, block):
+    for seeds in blocks(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col, block, least_score):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text_col):

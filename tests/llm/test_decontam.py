@@ -90,3 +90,24 @@ def test_licenses(spark):
     planted = " ".join(f"t{i}" for i in range(200))
     index = licenses.TemplateIndex({"a": planted})
     assert all(len(index.index.find(index.index.numbers(planted.split()[k : k + 4]), index.keys)[0]) for k in range(196))
+
+
+def test_every_edited_copy_of_a_short_item_is_found():
+    draw = np.random.default_rng(6)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(k, list(draw.choice(vocab, int(draw.integers(1, 26))))) for k in range(30)]
+    seeds = decontam.Seeds(items)
+    pairs = 0
+    for _ in range(250):
+        words = list(draw.choice(vocab, 60))
+        k = int(draw.integers(30))
+        copy = []
+        for w in items[k][1]:  # substitutions, deletions and insertions
+            x = draw.random()
+            copy += [w] if x > 0.3 else ["edit"] if x > 0.15 else [w, "more"] if x > 0.05 else []
+        words[20:20] = copy
+        got = {name: score for name, score, *_ in seeds.matches(" ".join(words), 0.5)}
+        want = {name: s for name, item in items if (s := brute_score(item, words) / (2 * len(item))) >= 0.5}
+        assert got.keys() == want.keys() and all(abs(got[n] - s) < 1e-9 for n, s in want.items())
+        pairs += k in want
+    assert pairs > 150
