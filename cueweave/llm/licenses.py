@@ -8,6 +8,7 @@ matched in order and the span in the document are reported.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,9 +26,30 @@ WINDOW = 2
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "bsd-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
     "cc-by-4.0-short": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-sa-4.0-short": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-short": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nd-4.0-short": "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-sa-4.0-short": "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-nd-4.0-short": "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "cc0-1.0-short": "This work is licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "agpl-3.0-short": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "lgpl-2.1-short": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "lgpl-3.0-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -38,6 +60,20 @@ TEMPLATES = {
 }
 
 
+#: Templates that differ in a few words or go on where another ends: of matches that overlap, the best alone is reported.
+VARIANTS = tuple(re.compile(p) for p in (r"bsd-.*", r".*-(line|short)", r"(a|l)?gpl-.*-notice"))
+
+
+def best_variants(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """found: (template, coverage, begin, end, words matched less words missed). Of overlapping variants the one with the most of these."""
+    kept: list[tuple[str, float, int, int, int]] = []
+    for m in sorted(found, key=lambda m: (-m[4], m[2], m[0])):
+        mine = next((v for v in VARIANTS if v.fullmatch(m[0])), None)
+        if mine is None or not any(mine.fullmatch(k[0]) and k[2] < m[3] and m[2] < k[3] for k in kept):
+            kept.append(m)
+    return kept
+
+
 class TemplateIndex:
     """The inverted index of winnowed fingerprints. Templates are a bounded, given set."""
 
@@ -76,9 +112,9 @@ class TemplateIndex:
                     part = np.concatenate([np.zeros(max(0, -low), np.int64), part])  # word `low` is the first
                     found = banded_matches(template, part, band)
                     if found and len(found) / len(template) >= least_coverage:
-                        out.append((self.names[k], len(found) / len(template), spans[low + found[0][1]][0], spans[low + found[-1][1]][1]))
+                        out.append((self.names[k], len(found) / len(template), spans[low + found[0][1]][0], spans[low + found[-1][1]][1], 2 * len(found) - len(template)))
                     low = next((d for d, _ in diagonals if low + max(band, len(template) // 2) < d <= high), high + 1)
-        return sorted(out, key=lambda m: (m[2], -m[3], m[0]))
+        return sorted((m[:4] for m in best_variants(out)), key=lambda m: (m[2], -m[3], m[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least_coverage: float = 0.7) -> DataFrame:
@@ -86,7 +122,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     licenses, coverage and spans are comma-joined, in the order of the matches' begins; spans are begin:end in code
     points, coverage the matched share of the template's words with three decimals. Null text has no match. A short
-    notice that a longer one begins with is reported beside it.
+    notice that a longer one begins with is reported beside it; of overlapping variants (VARIANTS) only the nearest is.
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)
 
