@@ -2,7 +2,8 @@
 
 A tokenizer's vocabulary is made of frequent strings, so ordinary words take few tokens a character and random ones
 many. A run of ASCII key characters with few characters a token is reported as a secret of kind `random`, unless it
-is a known digest or identifier or lies within a span that a rule found.
+is a known digest or identifier or lies within a span that a rule found. A date before it isn't counted, and what has
+the shape of words must have still fewer characters a token, as a whole or in a part of 20 characters or more.
 """
 
 from __future__ import annotations
@@ -30,10 +31,18 @@ KNOWN = (
     re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=][A-Za-z0-9+/=_-]+\Z", re.I),
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I),
     re.compile(r"[0-9+/=_-]+\Z"),  # numbers, dates, rules
+    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9]{2}(?:[_-]?[0-9]{2}){0,2}(?:[_-]?[0-9]{1,9})?(?:[_-]?[A-Z]{1,4}|[+-][0-9]{2}[_-]?[0-9]{2})?\Z"),  # timestamps
+)
+
+#: What has the shape of words. Invented and compound words have 2.2 characters a token and more, random letters 1.9 and less.
+WORDS = (
     re.compile(r"[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)*(?:[_/=+-]*[0-9]{1,4})?\Z"),  # words, joined or not, numbered or not
     re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,3}[_/=+-]+)+[A-Za-z]{2,}[0-9]{0,4}\Z"),  # part1_part2
-    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-].*\Z"),  # timestamps
 )
+WORDS_SHARE = 0.85  # of most_ratio
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]")
+JOINT = re.compile(r"[_/=+-]+")
+LEAST = 20
 
 
 @lru_cache(maxsize=2)
@@ -67,7 +76,14 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encode, most_ratio
         run = m.group()
         if any(s < end and start < e for s, _, e in base) or any(k.match(run) for k in KNOWN):
             continue
-        if len(run) <= most_ratio * len(encode(run)):
+        run = DATE.sub("", run, count=1) if DATE.match(run) else run
+        if len(run) < LEAST or any(k.match(run) for k in KNOWN):
+            continue
+        ratio, parts = most_ratio, [run]
+        if any(w.match(run) for w in WORDS):
+            ratio *= WORDS_SHARE
+            parts += [p for p in JOINT.split(run) if LEAST <= len(p) < len(run)]
+        if any(len(p) <= ratio * len(encode(p)) for p in parts):
             found.append((start, 3, end))
     return found
 

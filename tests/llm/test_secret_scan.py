@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -42,3 +44,14 @@ def test_rules_match_brute_force_and_random_strings_are_added(spark):
     assert by_id[6]["found"] == ["9fK2mQ7xZp4LwV8sTn3RbY6c"] and by_id[6]["spans"] == "random:4:28"
     assert by_id[7]["spans"] == "" and by_id[0]["spans"] == ""
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_letters_alone_and_what_follows_a_date_can_be_random():
+    encode = secret_scan.ranks_encoding(PATH).encode_ordinary
+    found = lambda run: bool(secret_scan.random_spans(f"see {run} here", [], encode, 2.4))
+    hidden = ["xKqZpWvJtRmBnLsDfGhYcVwX", "QpZrXkWvTnBmLsDfGhJkYtRe2024", "qzxj-vwkp-btrm-hndf-gqkz", "Xq/zPw+KvJtRmBnLsDfGhY==", "2024-01-02T9fK2mQ7xZp4LwV8sTn3RbY6c", "some_long_configuration_values_in_words_xKqZpWvJtRmBnLsDfGhYcVwX"]
+    plain = ["einlichheitenpfpfver", "keitstlichschenverpf", "my_long_snake_case_identifier_name", "getHTTPResponseCodeFromServer", "2024-01-02T03-04-05-000000", "2024-01-02T03-04-05+0200", "2024-01-02-the-title-of-a-longer-post"]
+    assert [r for r in hidden if not found(r)] == [] and [r for r in plain if found(r)] == []
+    draw = random.Random(7)
+    letters = ["".join(draw.choices(string.ascii_letters, k=24)) for _ in range(300)]
+    assert sum(map(found, letters)) == 300
