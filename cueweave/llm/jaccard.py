@@ -1,6 +1,7 @@
 """Near-duplicates by the Jaccard similarity of sets of shingles, exact for a stated least similarity.
 
-A text is the set of its shingles' hashes; texts of equal sets are one node. Two sets of similarity t or more share
+A text is the set of its shingles' hashes; texts of equal sets are one node. A node of which less than a share t of the
+shingles is in other nodes too has no partner of similarity t, and goes no further. Two sets of similarity t or more share
 one of the first n - ceil(t n) + 1 shingles of each, n being its size, in any order that all sets use. The order here
 puts shingles that many documents of a sample hold last, the rest by their hash: so lists of nodes that share such
 a shingle are short. The order decides only how many pairs are compared, never which ones are found.
@@ -19,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, id_and_text, slices
 from .components import components
@@ -97,6 +99,17 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], count[order]
 
 
+def _with_partners(sets: DataFrame, least: float) -> DataFrame:
+    """(node, grams), a row a node: those of whose shingles a share `least` or more is in other nodes too."""
+    rows = sets.select("node", F.explode("grams").alias("gram")).repartition("gram").distinct()
+    shared = rows.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1").groupBy("node").agg(F.count("*").alias("shared"))
+    sizes = sets.select("node", F.size("grams").alias("size")).distinct()
+    wanted = cut(shared.join(sizes, "node").where(F.col("shared") >= least * F.col("size") - 1e-9).select("node"))
+    if wanted.count() <= BROADCAST_NODES:  # so that the sets needn't be dealt out
+        wanted = F.broadcast(wanted)
+    return cut(sets.select("node", "grams").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _members(sets: DataFrame, least: float) -> DataFrame:
     """(gram, n, node): the lists of two nodes or more that share a shingle of their prefixes; of equal lists, one."""
     common, counts = _common(sets)
@@ -117,11 +130,8 @@ def _members(sets: DataFrame, least: float) -> DataFrame:
 
 def similar_links(sets: DataFrame, least: float, chunk: int = 1024) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similarity `least` or more."""
-    members = cut(_members(sets, least))
-    wanted = members.select("node").distinct()
-    if wanted.count() <= BROADCAST_NODES:  # so that the sets needn't be dealt out
-        wanted = F.broadcast(wanted)
-    whole = sets.select("node", "grams").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    whole = _with_partners(sets, least)
+    members = cut(_members(whole, least))
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
     meets = F.when(F.col("n") <= chunk, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(c, mine) * chunks + F.greatest(c, mine)))
