@@ -1,14 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of sets of shingles, exact for a stated least similarity.
-
-A text is the set of its shingles' hashes; texts of equal sets are one node. A node of which less than a share t of the
-shingles is in other nodes too has no partner of similarity t, and goes no further. Two sets of similarity t or more share
-one of the first n - ceil(t n) + 1 shingles of each, n being its size, in any order that all sets use. The order here
-puts shingles that many documents of a sample hold last, the rest by their hash: so lists of nodes that share such
-a shingle are short. The order decides only how many pairs are compared, never which ones are found.
-
-Lists with the same nodes are compared once, with the whole sets at hand: each passes on a spanning forest of the
-pairs whose similarity is t or more; a pair that the list has joined already isn't compared. Lists of more than
-`chunk` nodes are cut into chunks, and pairs of chunks are compared in tasks of their own.
+"""SimHash near-duplicates that hold a stated Jaccard similarity of sets of shingles, and lose no pair of it.
+
+A text is the set of its shingles' hashes; texts of equal sets are one node, with a SimHash of 256 bits over the set.
+
+1. Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, n being its size, in
+   any order that all sets use. The order here puts shingles that many sampled documents hold last, the rest by
+   their hash. The order decides only how many nodes meet, never which links are found.
+2. Nodes that share such a shingle are compared by bit-sliced SimHash (simhash.links). A pair of similarity 0.8 differs
+   in 0.19 of the bits at most, on the mean; RADIUS is 5.8 standard deviations beyond that: fewer than one such
+   pair in 10^8 is lost. The links' components hold all similar pairs, and others.
+3. Within each component, pairs within the radius are confirmed by the similarity of their whole sets. Sets are
+   made for these nodes only, once each; components too large for a task are cut into chunks, compared in pairs.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import cut, id_and_text, slices
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, links, named, shingle_hashes, without_copies
 
-SAMPLED = 8  # one node in so many is sampled for the order
-COMMON = (4, 5000)  # a shingle is common if 4 sampled documents hold it, and one in 5000 of them
-BROADCAST_NODES = 1_000_000
+LONGS = 4
+RADIUS = 84
+LEAST = 0.8  # RADIUS is worked out for similarities from here on
+SAMPLED = 16  # one text in so many is sampled for the order
+COMMON = (4, 5000)  # a shingle is common if 4 sampled texts hold it, and one in 5000 of them
+BROADCAST_NODES = 500_000
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -36,6 +39,14 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size)[:, 0].view(np.int64))
 
 
+def set_fingerprint(grams: np.ndarray) -> np.ndarray:
+    """LONGS words of SimHash; each word's hashes are the shingles', mixed once more."""
+    z = grams.view(np.uint64)[:, None] + np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return fingerprint(z ^ (z >> np.uint64(31)))
+
+
 def prefix(grams: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of which two sets of similarity `least` or more share one."""
     n = len(grams)
@@ -50,48 +61,24 @@ def prefix(grams: np.ndarray, least: float, common: np.ndarray, counts: np.ndarr
     return grams[:keep]
 
 
-def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets, none empty, whose similarity is `least` or more."""
-    sizes = np.array([len(s) for s in sets])
-    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    mine = np.zeros(int(number.max()) + 1, np.int32)
-    label, out = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        other = label[i + 1 :] != label[i]
-        other &= (sizes[i + 1 :] >= least * sizes[i] - 1e-9) & (sizes[i] >= least * sizes[i + 1 :] - 1e-9)
-        if not other.any():
-            continue
-        own = number[starts[i] : starts[i] + sizes[i]]
-        mine[own] = 1
-        shared = np.add.reduceat(mine[number[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        mine[own] = 0
-        near = other & (shared >= least * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9)
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                out.append((i, j))
-    return out
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, node, grams): node is a hash of the whole set, by which equal sets are one."""
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+
+def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), grams], names=["doc_id", "node", "grams"])
 
-    src = id_and_text(docs, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, grams array<bigint>")
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many sampled texts hold, sorted, and their counts. At most 5000 times the mean set reach the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), _lists([shingle_set(t.as_py(), shingle) for t in batch.column("text")])], names=["text_key", "grams"])
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that many sampled documents hold, sorted, and their counts. At most 5000 times the mean set reach the driver."""
-    some = sets.where(F.pmod("node", F.lit(SAMPLED)) == 0)
+    some = texts.where(F.pmod("text_key", F.lit(SAMPLED)) == 0).select("text_key", "text").mapInArrow(run, "text_key bigint, grams array<bigint>")
+    some = cut(some.dropDuplicates(["text_key"]))
     enough = max(COMMON[0], some.count() // COMMON[1])
     found = some.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= enough).toArrow()
     gram, count = found["gram"].to_numpy(), found["count"].to_numpy()
@@ -99,104 +86,79 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], count[order]
 
 
-def _with_partners(sets: DataFrame, least: float) -> DataFrame:
-    """(node, grams), a row a node: those of whose shingles a share `least` or more is in other nodes too."""
-    rows = sets.select("node", F.explode("grams").alias("gram")).repartition("gram").distinct()
-    shared = rows.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1").groupBy("node").agg(F.count("*").alias("shared"))
-    sizes = sets.select("node", F.size("grams").alias("size")).distinct()
-    wanted = cut(shared.join(sizes, "node").where(F.col("shared") >= least * F.col("size") - 1e-9).select("node"))
-    if wanted.count() <= BROADCAST_NODES:  # so that the sets needn't be dealt out
+def _sets(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(doc_id, text_key, node, size, fp, prefix): node is a hash of the whole set, by which equal sets are one."""
+    common, counts = _common(texts, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            nodes, sizes, fps, prefixes = [], [], [], []
+            for text in batch.column("text"):
+                grams = shingle_set(text.as_py(), shingle)
+                nodes.append(xxhash.xxh3_64_intdigest(grams.tobytes()))
+                sizes.append(len(grams))
+                fps.append(set_fingerprint(grams).view(np.int64))
+                prefixes.append(prefix(grams, least, common, counts))
+            arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(fps), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "size", "fp", "prefix"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, size int, fp array<bigint>, prefix array<bigint>")
+
+
+def _meeting(nodes: DataFrame) -> DataFrame:
+    """(key, node): the lists of two nodes or more that share a shingle of their prefixes; of equal lists, one."""
+    held = nodes.select(F.explode("prefix").alias("key"), "node")
+    shared = held.groupBy(F.col("key").alias("of")).count().where("count > 1").select("of")
+    held = cut(held.join(shared, F.col("key") == F.col("of"), "left_semi"))
+    lists = held.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    lists = lists.groupBy("n", "x", "y").agg(F.min("key").alias("of")).select("of")
+    return held.join(lists, F.col("key") == F.col("of"), "left_semi")
+
+
+def _confirmed(texts: DataFrame, loose: DataFrame, nodes: DataFrame, shingle: int, least: float, chunk: int) -> DataFrame:
+    """(a, b): the links within the components loose (node, root) of nodes whose whole sets have the similarity."""
+    members = loose.select(F.col("node.node").alias("of"), F.xxhash64("root").alias("key"))
+    wanted = cut(nodes.join(members, F.col("node") == F.col("of")).select("key", "name", "fp", F.col("text_key").alias("of_key")))
+    if wanted.count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
-    return cut(sets.select("node", "grams").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    rows = texts.select("text_key", "text").join(wanted, F.col("text_key") == F.col("of_key")).dropDuplicates(["text_key"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            grams = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("name"), batch.column("fp"), pa.array([len(g) for g in grams], pa.int32()), _lists(grams)], names=["key", "node", "fp", "size", "grams"])
 
-def _members(sets: DataFrame, least: float) -> DataFrame:
-    """(gram, n, node): the lists of two nodes or more that share a shingle of their prefixes; of equal lists, one."""
-    common, counts = _common(sets)
+    kind = nodes.schema["name"].dataType.simpleString()
+    sets = cut(rows.select("key", "name", "fp", "text").mapInArrow(run, f"key bigint, node {kind}, fp array<bigint>, size int, grams array<bigint>"))
+    return links(sets, RADIUS, chunk, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("grams")
-            found = [prefix(grams[i].values.to_numpy(), least, common, counts) for i in range(batch.num_rows)]
-            if found:
-                take = np.repeat(batch.column("node").to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(take)], names=["gram", "node"])
-
-    held = sets.select("node", "grams").mapInArrow(run, "gram bigint, node bigint").repartition("gram").distinct()
-    lists = held.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    lists = lists.groupBy("n", "x", "y").agg(F.min("gram").alias("of")).select("of", "n")
-    return held.join(lists, F.col("gram") == F.col("of")).select("gram", "n", "node")
-
-
-def similar_links(sets: DataFrame, least: float, chunk: int = 1024) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of similarity `least` or more."""
-    whole = _with_partners(sets, least)
-    members = cut(_members(whole, least))
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    meets = F.when(F.col("n") <= chunk, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(c, mine) * chunks + F.greatest(c, mine)))
-    keyed = members.select("gram", "node", F.explode(meets).alias("part")).join(whole, "node")
-    keyed = keyed.repartition("gram", "part").sortWithinPartitions("gram", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        nodes: list[int] = []
-        links: list[tuple[int, int]] = []
-        last = None
-
-        def compare() -> None:
-            if len(held) > 1:
-                links.extend((nodes[i], nodes[j]) for i, j in similar_forest(held, least))
-            held.clear()
-            nodes.clear()
-
-        def out() -> pa.RecordBatch:
-            pairs = np.array(links, np.int64).reshape(-1, 2)
-            links.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            grams = batch.column("grams")
-            for i, (key, part, node) in enumerate(zip(batch["gram"].to_pylist(), batch["part"].to_pylist(), batch["node"].to_pylist())):
-                if (key, part) != last:
-                    compare()
-                    last = key, part
-                held.append(grams[i].values.to_numpy())
-                nodes.append(node)
-            if len(links) >= 1 << 14:
-                yield out()
-        compare()
-        yield out()
-
-    return keyed.select("gram", "part", "node", "grams").mapInArrow(run, "a bigint, b bigint")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = LEAST, chunk: int = 4096) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest id reachable over pairs of similarity `least` or more.
 
-    Exact but for collisions of 64-bit hashes. Texts without a word have the empty set, which is similar to itself
-    alone; texts of fewer words than a shingle are one shingle. Repeated rows are kept, one result row each. A null id
-    stays null; its component_id is the smallest non-null id reachable, or null if there is none.
+    Exact but for collisions of 64-bit hashes and the loss stated above. Texts without a word have the empty set, which is
+    similar to itself alone; texts of fewer words than a shingle are one shingle. Repeated rows are kept, one result row
+    each. A null id stays null; its component_id is the smallest non-null id reachable, or null if there is none. An
+    empty table gives no rows; other columns aren't read.
     """
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0 and at most 1")
-    sets = cut(_sets(docs, id_col, text_col, shingle))
-    roots = cut(components(similar_links(sets, least)))
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    rooted = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    return sets.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    if not LEAST <= least <= 1:
+        raise ValueError(f"least must be from {LEAST} to 1")
+    texts = _keyed_texts(docs, id_col, text_col)
+    sets = cut(_sets(texts, shingle, least))
+    one = sets.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    nodes = cut(one.join(named("node", sets), "node"))
+    met = _meeting(nodes).join(nodes.select(F.col("node").alias("of_node"), "name", "fp", "size"), F.col("node") == F.col("of_node"))
+    loose = cut(components(links(met.select("key", F.col("name").alias("node"), "fp", "size"), RADIUS, chunk, least)))
+    roots = cut(components(_confirmed(texts, loose, nodes, shingle, least, chunk)))
+    moved = roots.select(F.col("node.node").alias("of_node"), F.col("root.id").alias("root_id"))
+    ids = nodes.select("node", F.col("name.id").alias("least_id")).join(moved, F.col("node") == F.col("of_node"), "left").select(F.col("node").alias("of"), F.coalesce("root_id", "least_id").alias("component_id"))
+    return sets.select("doc_id", "node").join(ids, F.col("node") == F.col("of")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = LEAST, chunk: int = 4096) -> DataFrame:
     """The documents without those that a document with a smaller id is linked to; columns as given.
 
     Rows with a null id are kept unless an id reachable from them is known. Rows that repeat an id are
     one document: they stay or go together.
     """
-    if docs.schema[id_col].dataType.simpleString() == "void":
-        return docs
-    found = similar_components(docs, id_col, text_col, shingle, least)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    return without_copies(docs, id_col, similar_components(docs, id_col, text_col, shingle, least, chunk))

@@ -142,8 +142,18 @@ def pairs_at(planes: np.ndarray, valid: np.ndarray, shift: int, radius: int, ste
     return where[word] * 64 + lane
 
 
-def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """A spanning forest of the links within runs of equal keys: [links, 2] of row numbers. keys are sorted."""
+def links_in_runs(
+    keys: np.ndarray,
+    fps: np.ndarray,
+    radius: int,
+    allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    confirm: Callable[[int, int], bool] | None = None,
+) -> np.ndarray:
+    """A spanning forest of the links within runs of equal keys: [links, 2] of row numbers. keys are sorted.
+
+    allowed and confirm say which of the pairs within the radius are links: the one for arrays of row numbers, the
+    other, called only for pairs that no link joins yet, for two row numbers. A run that is joined is compared no more.
+    """
     n = len(keys)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[starts, n])
@@ -157,21 +167,30 @@ def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     take = np.concatenate([np.arange(begin[r], begin[r] + length[r]) for r in order])
     origin, fps, length = origin[take], fps[take], length[order]
     begin, n = np.r_[0, np.cumsum(length)[:-1]], len(origin)
-    left = np.repeat(begin + length, length) - np.arange(n)  # rows of the run from here on
+    run = np.repeat(np.arange(len(length)), length)
+    left = begin[run] + length[run] - np.arange(n)  # rows of the run from here on
+    missing = length - 1  # links that would join the run
     planes = planes_of(fps, 64)
     label, out = np.arange(n), []
     for shift in range(1, int(length[0])):
         rows = int(np.searchsorted(-length, -shift, side="left"))
         rows = int(begin[rows]) if rows < len(begin) else n
-        i = pairs_at(planes[:, : -(-(rows + 64) // 64)], left[:rows] > shift, shift, radius)
-        j = i + shift
-        fresh = label[i] != label[j]
-        for a, b in zip(i[fresh].tolist(), j[fresh].tolist()):
-            ra, rb = _root(label, a), _root(label, b)
-            if ra != rb:
+        valid = left[:rows] > shift
+        if not valid.any():
+            continue
+        i = pairs_at(planes[:, : -(-(rows + 64) // 64)], valid, shift, radius)
+        i = i[label[i] != label[i + shift]]
+        if allowed is not None and len(i):
+            i = i[allowed(origin[i], origin[i + shift])]
+        for a in i.tolist():
+            ra, rb = _root(label, a), _root(label, a + shift)
+            if ra != rb and (confirm is None or confirm(int(origin[a]), int(origin[a + shift]))):
                 label[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
-        if fresh.any():
+                out.append((a, a + shift))
+                missing[run[a]] -= 1
+                if not missing[run[a]]:
+                    left[begin[run[a]] : begin[run[a]] + length[run[a]]] = 0
+        if len(i):
             while True:
                 up = label[label]
                 if (up == label).all():
@@ -220,8 +239,8 @@ def sampled_keys(width: int, tables: int = 32, key_bits: int = 16) -> Callable[[
     return keys
 
 
-def _keyed(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(node, fp, key): a row for each node and key."""
+def with_keys(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, fp, key): a row for each of nodes (node, fp) and key."""
     if isinstance(keys, Column):
         return nodes.select("node", "fp", F.explode(keys).alias("key"))
 
@@ -233,58 +252,87 @@ def _keyed(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray])
                 take = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("fp").take(take), pa.array(found.ravel())], names=["node", "fp", "key"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "node bigint, fp array<bigint>, key bigint")
+    return nodes.select("node", "fp").mapInArrow(run, f"node {nodes.schema['node'].dataType.simpleString()}, fp array<bigint>, key bigint")
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is `least` or more."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small) or len(small) < least * len(large) - 1e-9:
+        return False
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+
 
+def links(keyed: DataFrame, radius: int, chunk: int = 4096, least: float | None = None) -> DataFrame:
+    """keyed (key, node, fp), distinct. Returns (a, b): a spanning forest of each key's links of nodes.
 
-def links(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray], radius: int, chunk: int = 4096) -> DataFrame:
-    """nodes (node bigint, fp array<bigint>), distinct. Returns (a, b): a spanning forest of each key's links."""
-    keyed = _keyed(nodes, keys)
-    hot = keyed.groupBy("key").count().where(F.col("count") > chunk)
-    hot = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    With least, keyed has size, and nodes whose sizes' quotient is below least aren't linked. Where keyed also has
+    grams array<bigint>, sorted sets, two nodes are linked only if these sets have a Jaccard similarity of least.
+    A key holds as many nodes at a time as weigh chunk: a node weighs 1, or with grams 1 + size / 512.
+    """
+    kind, confirmed = keyed.schema["node"].dataType.simpleString(), "grams" in keyed.columns
+    weight = F.lit(1.0) + F.col("size") / 512 if confirmed else F.lit(1.0)
+    hot = keyed.groupBy("key").agg(F.sum(weight).alias("weight")).where(F.col("weight") > chunk)
+    hot = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("weight") / chunk).cast("int").alias("chunks"))
     keyed = keyed.join(hot, F.col("key") == F.col("hot_key"), "left")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     meets = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, mine) * F.col("chunks") + F.greatest(c, mine))
     )
-    keyed = keyed.select("key", F.explode(meets).alias("part"), "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part")
+    keyed = keyed.withColumn("part", F.explode(meets)).drop("hot_key", "chunks")
+    keyed = keyed.withColumn("at", F.xxhash64("key", "part")).drop("key", "part").repartition("at").sortWithinPartitions("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def compare(rows: pa.Table) -> pa.RecordBatch:
-            key, part = rows["key"].to_numpy(), rows["part"].to_numpy()
-            run_of = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            node = rows["node"].to_numpy()
-            fps = rows["fp"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            found = links_in_runs(run_of, fps, radius)
-            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
-
-        def rows_of(batch: pa.RecordBatch) -> int:
-            """Rows before the batch's last run; that run may go on in the next batch."""
-            key, part = batch["key"].to_numpy(), batch["part"].to_numpy()
-            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            return int(change[-1]) + 1 if len(change) else 0
+        def compare() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            column = lambda c: rows[c].chunk(0)
+            fps = column("fp").flatten().to_numpy().reshape(rows.num_rows, -1)
+            allowed = confirm = None
+            if least is not None:
+                sizes = column("size").to_numpy()
+                allowed = lambda i, j: np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9
+            if confirmed:
+                flat, ends = column("grams").flatten().to_numpy(), np.r_[0, np.cumsum(column("size").to_numpy())]
+                confirm = lambda i, j: similar_sets(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], least)
+            found = links_in_runs(column("at").to_numpy(), fps, radius, allowed, confirm)
+            return pa.RecordBatch.from_arrays([column("node").take(pa.array(found[:, 0])), column("node").take(pa.array(found[:, 1]))], names=["a", "b"])
 
-        def first(batch: pa.RecordBatch, at: int = 0) -> tuple:
-            return batch["key"][at].as_py(), batch["part"][at].as_py()
-
-        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held and first(held[-1], held[-1].num_rows - 1) != first(batch) and size >= 1 << 14:
-                yield compare(pa.Table.from_batches(held))
-                held, size = [], 0
-            whole = rows_of(batch)
-            if whole and size + whole >= 1 << 14:
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, whole)]))
-                held, size = [batch.slice(whole)], batch.num_rows - whole
-            else:
-                held, size = [*held, batch], size + batch.num_rows
+            at = batch.column("at").to_numpy()
+            changes = np.flatnonzero(at[1:] != at[:-1]) + 1
+            if held and held[-1].column("at")[-1].as_py() != at[0]:
+                changes = np.r_[0, changes]
+            # A run may go on in the next batch: cut only where one ends, whenever enough rows or bytes are held.
+            begin, rows, size = 0, sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+            each = batch.nbytes / batch.num_rows
+            for end in changes.tolist():
+                if rows + end - begin >= 1 << 14 or size + (end - begin) * each >= 1 << 25:
+                    if end > begin:
+                        held.append(batch.slice(begin, end - begin))
+                    if held:
+                        yield compare()
+                    begin, rows, size = end, 0, 0
+            held.append(batch.slice(begin))
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield compare()
 
-    return keyed.mapInArrow(run, "a bigint, b bigint")
+    return keyed.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def named(node: str, docs: DataFrame) -> DataFrame:
+    """docs (doc_id, `node`, ...): (node, name), name being the node's least id, null last, before the node itself.
+
+    Names are distinct and in the order of ids, so the root of a component of names holds the component's least id.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("least")
+    return docs.groupBy(node).agg(least).select(node, F.struct("least.no_id", "least.id", node).alias("name"))
 
 
 def near_duplicate_components(
@@ -301,20 +349,15 @@ def near_duplicate_components(
 
     width 64 with radius 3 or less is exact; wider fingerprints or larger radii use sampled keys. Null and empty
     texts have the fingerprint zero and link like any other. Repeated rows are kept, one result row each. A null id
-    stays null; its component_id is the smallest non-null id reachable, or null if there is none.
+    stays null; its component_id is the smallest non-null id reachable, or null if there is none. An empty table
+    gives no rows; other columns aren't read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle, width))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    if width == 64:
-        nodes = nodes.withColumn("node", F.element_at("fp", 1))
-    else:  # wide fingerprints are named by a hash; two that share one would only be compared as one more link
-        nodes = nodes.withColumn("node", F.xxhash64("fp"))
-    nodes = cut(nodes)
+    nodes = cut(named("fp", fps))
     keys = split_keys(F.col("fp")) if width == 64 and radius <= 3 else sampled_keys(width, tables, key_bits)
-    roots = cut(components(links(nodes.select("node", "fp"), keys, radius)))
-    rooted = nodes.join(roots, "node", "left").select("fp", "least_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
+    found = links(with_keys(nodes.select(F.col("name").alias("node"), "fp"), keys), radius)
+    roots = cut(components(found))
+    by_fp = nodes.join(roots, F.col("name") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("root.id", "name.id").alias("component_id"))
     return fps.join(by_fp, F.col("fp") == F.col("of_fp"), "left").select("doc_id", "fp", "component_id")
 
 
@@ -324,8 +367,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     Rows with a null id are kept unless an id reachable from them is known. Rows that repeat an id are
     one document: they stay or go together.
     """
-    found = near_duplicate_components(docs, id_col, **how)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    return without_copies(docs, id_col, near_duplicate_components(docs, id_col, **how))
+
+
+def without_copies(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """The rows of docs whose id is its component's in found (doc_id, component_id), or null."""
     if docs.schema[id_col].dataType.simpleString() == "void":
         return docs
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

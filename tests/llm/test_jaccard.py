@@ -75,8 +75,30 @@ def test_every_pair_at_the_stated_similarity_is_linked(spark, monkeypatch):
     assert stage(spark, texts) == want
     monkeypatch.setattr(jaccard, "SAMPLED", 1)  # the shared passage is common then
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
-    sets = jaccard._sets(docs, "doc_id", "text", 5).cache()
     for chunk in (4, 1024):
-        pairs = jaccard.similar_links(sets, 0.8, chunk=chunk)
-        linked = jaccard.components(pairs).where("node <> root").count()
-        assert sets.select("node").distinct().count() - linked == len(want)
+        rows = jaccard.similar_components(docs, chunk=chunk).collect()
+        assert {r["doc_id"] for r in rows if r["doc_id"] == r["component_id"]} == want
+        assert [r["component_id"] for r in rows if r["doc_id"] is None] == [0]
+
+
+def test_sets_at_the_bound_stay_within_the_radius():
+    draw = np.random.default_rng(7)
+    far = []
+    for n in (4, 5, 9, 12, 20, 45, 90, 200):
+        for _ in range(200):
+            shared = draw.integers(-(1 << 63), 1 << 63, n)
+            more = draw.integers(-(1 << 63), 1 << 63, n // 4)  # n of 1.25 n: similarity 0.8
+            half = len(more) // 2
+            for a, b in ((shared, np.r_[shared, more]), (np.r_[shared, more[:half]], np.r_[shared, more[half:]])):
+                fps = [jaccard.set_fingerprint(np.unique(x)) for x in (a, b)]
+                far.append(int(np.unpackbits((fps[0] ^ fps[1]).view(np.uint8)).sum()))
+    assert max(far) <= jaccard.RADIUS - 5
+
+
+def test_empty_tables_nulls_and_clashing_columns(spark):
+    schema = "doc_id long, text string, node string, prefix int, text_key int, name int"
+    assert jaccard.keep_one(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(4, long, "x", 1, 1, 1), (2, long + " end", None, 2, 2, 2), (None, long, None, None, None, None), (7, None, "", 0, 0, 0), (8, None, "", 0, 0, 0), (9, "", "", 0, 0, 0), (2, "other words", "", 0, 0, 0)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, schema).repartition(3))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "7", "None"] and kept.columns == ["doc_id", "text", "node", "prefix", "text_key", "name"]

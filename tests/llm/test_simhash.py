@@ -94,7 +94,7 @@ def test_hot_keys_are_cut_into_chunks_without_losing_links(spark):
     draw = np.random.default_rng(2)
     fps = sorted({int(sum(1 << int(b) for b in draw.choice(20, 3, replace=False))) for _ in range(400)})
     nodes = spark.createDataFrame([(f, [f]) for f in fps], "node long, fp array<long>")
-    found = simhash.links(nodes, simhash.split_keys(F.col("fp")), 3, chunk=16)
+    found = simhash.links(simhash.with_keys(nodes, simhash.split_keys(F.col("fp"))), 3, chunk=16)
     got = {r["node"]: r["root"] for r in components(found).collect()}
     want = brute_components(dict(enumerate(fps)), 3)
     assert {fps[i]: fps[r] for i, r in want.items() if list(want.values()).count(r) > 1} == got
