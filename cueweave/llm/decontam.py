@@ -24,6 +24,7 @@ from .grams import WORD, GramIndex, plain_words, smith_waterman
 
 SPARE = 4  # an item has a quarter of its words as seeds beyond those that an alignment can miss
 ITEMS_A_BLOCK = 10_000
+CHARS_A_BLOCK = 64 << 20
 
 
 class Seeds:
@@ -86,8 +87,6 @@ class Seeds:
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        if len(spans) != len(words):  # casefolding has changed word bounds; report word numbers' nearest spans
-            spans += [spans[-1] if spans else (0, 0)] * (len(words) - len(spans))
         return [(name, score, spans[b][0], spans[e - 1][1]) for name, (score, b, e) in sorted(found.items(), key=lambda x: str(x[0]))]
 
 
@@ -111,7 +110,8 @@ def gram_counts(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
 
 def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, least_score: float) -> Iterator[Seeds]:
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    many = -(-items.count() // size)
+    held = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    many = max(-(-held["n"] // size), -(-held["chars"] // CHARS_A_BLOCK))
     for b in range(many):
         mine = items if many == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b)
         found = sorted(((r["item_id"], plain_words(r["text"])) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))
@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: float = 0.5, block: int = ITEMS_A_BLOCK) -> DataFrame:
-    """The rows of docs that hold no item, columns as given."""
+    """The rows of docs that hold no item, columns as given. Null and empty texts hold none; rows that repeat stay or go alike."""
     for seeds in blocks(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col, block, least_score):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 
 WORD = re.compile(r"\w+")
+SHIFT = 32  # a cell holds its score above these bits and where its path begins below
+LOW = (1 << SHIFT) - 1
 
 
 def plain_words(text: str | None) -> list[str]:
-    return WORD.findall(text.casefold()) if text else []
+    """Words are cut before they are folded, so the k-th word is the k-th match of WORD in the text."""
+    if not text:
+        return []
+    return WORD.findall(text.lower()) if text.isascii() else [w.casefold() for w in WORD.findall(text)]
 
 
 class GramIndex:
@@ -24,7 +28,7 @@ class GramIndex:
             for w in t:
                 self.number.setdefault(w, len(self.number) + 1)
         if (len(self.number) + 1) ** min(n, 3) >= 1 << 62 or n > 3:
-            raise ValueError("n is at most 3, and the words of a block must be fewer than a million")
+            raise ValueError("n is at most 3, and with n of 3 the texts' words must be fewer than 1.6 million")
         self.ids = [self.numbers(t) for t in texts]
         self.grams = [self.keys(i) for i in self.ids]
         self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
@@ -72,73 +76,47 @@ class GramIndex:
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """Best local alignment of two sequences of word numbers, 0 matching nothing: score, and its begin and end in b."""
-    n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    ramp = -gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        score = np.where((b == a[i - 1]) & (b > 0), match, mismatch)
-        row = np.maximum(h[i - 1] + gap, 0)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + score)
-        row[0] = 0
-        h[i] = np.maximum.accumulate(row + ramp) - ramp  # gaps along the row
-    i, j = (int(x) for x in np.unravel_index(int(np.argmax(h)), h.shape))
-    best, end = int(h[i, j]), j
-    while h[i, j] > 0:
-        step = match if a[i - 1] == b[j - 1] and b[j - 1] > 0 else mismatch
-        if h[i, j] == h[i - 1, j - 1] + step:
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
-
+    """Best local alignment of two sequences of word numbers, 0 matching nothing: score, and its begin and end in b.
 
-def banded_matches(a: np.ndarray, b: np.ndarray, band: int) -> list[tuple[int, int]]:
-    """Matched pairs (i, j), i rising, of a longest common subsequence of a and b with |i - j| <= band."""
+    Two rows are held at a time: a cell carries where its path begins. Of paths of one score the later begin wins.
+    """
     m = len(b)
-    n = min(len(a), m + band)  # what stands further down is out of the band
-    width = 2 * band + 1
-    best = np.zeros((n + 1, width + 2), np.int64)  # best[i, j - i + band + 1]: over a[:i], b[:j]
-    for i in range(1, n + 1):
-        row = best[i]
-        for k in range(1, width + 1):
-            j = i + k - band - 1
-            if j < 0 or j > m:
-                continue
-            x = max(best[i - 1, k + 1], row[k - 1] if j else 0)
-            if j and a[i - 1] == b[j - 1] and a[i - 1] > 0:
-                x = max(x, best[i - 1, k] + 1)
-            row[k] = x
-    i, k = n, int(np.argmax(best[n, 1 : width + 1])) + 1
-    out = []
-    while i > 0 and best[i, k] > 0:
-        j = i + k - band - 1
-        if 1 <= j <= m and a[i - 1] == b[j - 1] and a[i - 1] > 0 and best[i, k] == best[i - 1, k] + 1:
-            out.append((i - 1, j - 1))
-            i -= 1
-        elif best[i, k] == best[i - 1, k + 1]:
-            i, k = i - 1, k + 1
+    fresh = np.arange(m + 1, dtype=np.int64)  # score 0, begun here
+    ramp = (-gap * np.arange(m + 1, dtype=np.int64)) << SHIFT
+    above, best = fresh, (0, 0, 0)
+    for word in a.tolist():
+        row = np.maximum(above + (gap << SHIFT), fresh)
+        if word:
+            score = np.where(b == word, match, mismatch) << SHIFT
         else:
-            k -= 1
-    return out[::-1]
-
-
-def by_text(hits: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
-    """(text, place in text, place in document) by text: (diagonal, place in text), sorted."""
-    out = defaultdict(list)
-    for text, at, place in hits:
-        out[text].append((place - at, at))
-    return {t: sorted(v) for t, v in out.items()}
-
-
-def clusters(diagonals: list[tuple[int, int]], slack: int, least: int) -> list[tuple[int, int]]:
-    """Ranges of diagonals, each hit within slack of the one before, that hold at least `least` different places."""
-    out, at = [], 0
-    for i in range(1, len(diagonals) + 1):
-        if i == len(diagonals) or diagonals[i][0] - diagonals[i - 1][0] > slack:
-            if len({p for _, p in diagonals[at:i]}) >= least:
-                out.append((diagonals[at][0], diagonals[i - 1][0]))
-            at = i
-    return out
+            score = np.full(m, mismatch << SHIFT, np.int64)
+        row[1:] = np.maximum(row[1:], above[:-1] + score)
+        row = np.maximum(np.maximum.accumulate(row + ramp) - ramp, fresh)  # gaps along the row
+        row = np.where(row >> SHIFT > 0, row, fresh)
+        end = int(np.argmax(row >> SHIFT))
+        if (top := int(row[end])) >> SHIFT > best[0]:
+            best = (top >> SHIFT, top & LOW, end)
+        above = row
+    return best
+
+
+def banded_matches(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """(matched, first, last): words of a matched in order with words of b, low <= j - i <= high, as many as can be.
+
+    first and last are the places in b of the first and last match: the earliest last, and the latest first to it.
+    """
+    n, width = len(a), high - low + 1
+    x = np.arange(low, low + n + width)
+    near = np.where((x >= 0) & (x < len(b)), b[np.clip(x, 0, max(0, len(b) - 1))], 0) if len(b) else np.zeros(len(x), np.int64)
+    above, best = np.zeros(width + 1, np.int64), (0, 0, 0)
+    for i, word in enumerate(a.tolist()):
+        part = near[i : i + width]
+        more = above[:width]
+        more = np.where(more > 0, more, x[i : i + width] + 1) + (1 << SHIFT)
+        row = np.maximum(above[1:], np.where((part == word) & (part > 0), more, 0))
+        row = np.maximum.accumulate(row)
+        if (top := int(row[-1]) >> SHIFT) > best[0]:
+            k = int(np.searchsorted(row, top << SHIFT))
+            best = (top, (int(row[k]) & LOW) - 1, i + low + k)
+        above[:width] = row
+    return best

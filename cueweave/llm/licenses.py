@@ -8,7 +8,9 @@ matched in order and the span in the document are reported.
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
-from .grams import WORD, GramIndex, banded_matches, by_text, clusters, plain_words
+from .grams import WORD, GramIndex, banded_matches, plain_words
 
 WINDOW = 2
 
@@ -93,36 +95,76 @@ class TemplateIndex:
         self.places = [at[int(k)] for k in self.keys]
 
     def matches(self, text: str | None, least_coverage: float) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, begin, end) in code points, by begin; each stretch of diagonals is one match."""
+        """(template, coverage, begin, end) in code points, by begin."""
         words = plain_words(text)
         ids = self.index.numbers(words)
         pos, place = self.index.find(ids, self.keys)
         if not len(pos):
             return []
-        hits = [(k, at, int(p)) for p, s in zip(pos, place) for k, at in self.places[s]]
+        hits = defaultdict(list)
+        for p, s in zip(pos.tolist(), place.tolist()):
+            for k, at in self.places[s]:
+                hits[k].append((p - at, at, p))
         spans = [m.span() for m in WORD.finditer(text)]
-        spans += [spans[-1]] * (len(words) - len(spans))
         out = []
-        for k, diagonals in by_text(hits).items():
-            template = self.index.ids[k]
-            band = max(4, len(template) // 8)
-            for low, high in clusters(diagonals, band, self.least[k]):
-                while low <= high:  # a stretch of repeats is as many matches
-                    part = ids[max(0, low) : max(0, low + len(template) + 2 * band)]
-                    part = np.concatenate([np.zeros(max(0, -low), np.int64), part])  # word `low` is the first
-                    found = banded_matches(template, part, band)
-                    if found and len(found) / len(template) >= least_coverage:
-                        out.append((self.names[k], len(found) / len(template), spans[low + found[0][1]][0], spans[low + found[-1][1]][1], 2 * len(found) - len(template)))
-                    low = next((d for d, _ in diagonals if low + max(band, len(template) // 2) < d <= high), high + 1)
+        for k, mine in hits.items():
+            n = len(self.index.ids[k])
+            for matched, first, last in self.aligned(k, sorted(mine), ids, least_coverage):
+                out.append((self.names[k], matched / n, spans[first][0], spans[last][1], 2 * matched - n))
         return sorted((m[:4] for m in best_variants(out)), key=lambda m: (m[2], -m[3], m[0]))
 
+    def aligned(self, k: int, hits: list[tuple[int, int, int]], ids: np.ndarray, least_coverage: float) -> list[tuple[int, int, int]]:
+        """(matched, first, last) of template k. hits: (diagonal, place in the template, place in the document), sorted.
+
+        Windows of neighbouring diagonals are aligned from the one with the most different places down. A window's
+        hits are then spent, and so are those in the span of its match, but for hits that are used no window is
+        left out: whatever stands before or between, each full copy is aligned on its own diagonals.
+        """
+        template = self.index.ids[k]
+        band = max(4, len(template) // 8)
+        spent = [False] * len(hits)
+
+        def window(i: int) -> list[int]:
+            end = i
+            while end < len(hits) and hits[end][0] <= hits[i][0] + band:
+                end += 1
+            return [j for j in range(i, end) if not spent[j]]
+
+        def places(i: int) -> int:
+            return len({hits[j][1] for j in window(i)})
+
+        heap = [(-places(i), i) for i in range(len(hits))]
+        heapq.heapify(heap)
+        by_place = sorted(range(len(hits)), key=lambda j: hits[j][2])
+        at_place = [hits[j][2] for j in by_place]
+        out = []
+        while heap:
+            held, i = heapq.heappop(heap)
+            if -held < self.least[k]:
+                break
+            if spent[i]:
+                continue
+            if (now := places(i)) != -held:
+                heapq.heappush(heap, (-now, i))
+                continue
+            matched, first, last = banded_matches(template, ids, hits[i][0] - band // 2, hits[i][0] + band + band // 2)
+            for j in window(i):
+                spent[j] = True
+            if matched and matched / len(template) >= least_coverage:
+                out.append((matched, first, last))
+                for j in by_place[bisect_left(at_place, first) : bisect_right(at_place, last)]:
+                    spent[j] = True
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least_coverage: float = 0.7) -> DataFrame:
     """(doc_id, n_matches, licenses, coverage, spans), a row for each row of docs.
 
     licenses, coverage and spans are comma-joined, in the order of the matches' begins; spans are begin:end in code
-    points, coverage the matched share of the template's words with three decimals. Null text has no match. A short
-    notice that a longer one begins with is reported beside it; of overlapping variants (VARIANTS) only the nearest is.
+    points, coverage the matched share of the template's words with three decimals. Null and empty texts have no match;
+    rows that repeat are reported each; an empty table, and an empty set of templates, give what one expects. Other
+    columns aren't read. A short notice that a longer one begins with is reported beside it; of overlapping variants
+    (VARIANTS) only the nearest is.
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)
 

@@ -26,9 +26,26 @@ def test_smith_waterman_and_banded_match_brute_force():
             for j in range(len(b) + 1):
                 if abs(i - j) <= band:
                     lcs[i, j] = max(0, lcs.get((i - 1, j), 0), lcs.get((i, j - 1), 0), lcs.get((i - 1, j - 1), 0) + 1 if i and j and a[i - 1] == b[j - 1] and b[j - 1] else 0)
-        pairs = grams.banded_matches(a, b, band)
-        assert len(pairs) == max(v for (i, _), v in lcs.items() if i == min(len(a), len(b) + band)) and pairs == sorted(set(pairs))
-        assert all(a[i] == b[j] > 0 and abs(i - j) <= band for i, j in pairs)
+        matched, first, last = grams.banded_matches(a, b, -band, band)
+        assert matched == max(v for (i, _), v in lcs.items() if i == min(len(a), len(b) + band))
+        if matched:
+            inside = np.where((np.arange(len(b)) >= first) & (np.arange(len(b)) <= last), b, 0)
+            assert grams.banded_matches(a, inside, -band, band) == (matched, first, last) and b[first] and b[last]
+
+
+def test_long_items_need_two_rows_only():
+    draw = np.random.default_rng(3)
+    item = draw.integers(1, 5000, 20_000)
+    doc = np.r_[draw.integers(1, 5000, 3000), item[:9000], item[9100:], draw.integers(1, 5000, 3000)]
+    score, begin, end = grams.smith_waterman(item, doc)
+    assert score >= 2 * 19_900 - 100 and abs(begin - 3000) < 5 and abs(end - 22_900) < 5
+
+
+def test_spans_where_folding_changes_words():
+    items = [(1, grams.plain_words("one two three four five six"))]
+    text = "İİİ ŉab İİ one two three four five six ŉ end"
+    (found,) = decontam.Seeds(items).matches(text, 0.5)
+    assert found[0] == 1 and text[found[2] : found[3]] == "one two three four five six"
 
 
 def made():
@@ -60,9 +77,8 @@ def test_contaminated_documents_against_alignment_of_all_pairs(spark):
                 w = grams.plain_words(item)
                 if w and text and (s := brute_score(w, grams.plain_words(text)) / (2 * len(w))) >= 0.5:
                     want[d, i] = s
-        strong = {k for k, s in want.items() if s >= 0.75}
-        assert set(got) <= set(want) and strong <= set(got) and len(strong) > 30
-        assert all(abs(got[k]["score"] - want[k]) < 1e-9 for k in strong)
+        assert set(got) == set(want) and len(want) > 35
+        assert all(abs(got[k]["score"] - want[k]) < 1e-9 for k in want)
         text = dict(docs)
         assert grams.plain_words(text[2][got[2, 32]["begin"] : got[2, 32]["end"]]) == ["two", "words"]
     kept = decontam.drop_contaminated(df, bench)
