@@ -36,7 +36,7 @@ KNOWN = (
 
 #: What has the shape of words. Invented and compound words have 2.2 characters a token and more, random letters 1.9 and less.
 WORDS = (
-    re.compile(r"[A-Za-z]*(?:[_/=+-]+[A-Za-z]*)*(?:[_/=+-]*[0-9]{1,4})?\Z"),  # words, joined or not, numbered or not
+    re.compile(r"[A-Za-z_/=+-]*[0-9]{0,4}\Z"),  # words, joined or not, numbered or not
     re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,3}[_/=+-]+)+[A-Za-z]{2,}[0-9]{0,4}\Z"),  # part1_part2
 )
 WORDS_SHARE = 0.85  # of most_ratio
@@ -71,10 +71,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode, most_ratio: float) -> list[tuple[int, int, int]]:
     found = []
+    covered: list[list[int]] = []  # the rules' spans, merged, in order
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    at = 0
     for m in RUN.finditer(text):
         start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
         run = m.group()
-        if any(s < end and start < e for s, _, e in base) or any(k.match(run) for k in KNOWN):
+        if (at < len(covered) and covered[at][0] < end) or any(k.match(run) for k in KNOWN):
             continue
         run = DATE.sub("", run, count=1) if DATE.match(run) else run
         if len(run) < LEAST or any(k.match(run) for k in KNOWN):
@@ -96,7 +105,8 @@ def scan(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     """A row for each row of docs: counts by kind, the rules' spans as a digest, and all spans with their strings.
 
     most_ratio: characters a token at most, for a run of 20 or more key characters to count as random. Null text
-    counts as empty. Spans are in code points, end exclusive; `found` holds the matched strings in the order of spans.
+    counts as empty; rows that repeat are scanned each; an empty table gives no rows; other columns aren't read. Spans
+    are in code points, end exclusive; `found` holds the matched strings in the order of spans.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 
@@ -55,3 +56,40 @@ def test_letters_alone_and_what_follows_a_date_can_be_random():
     draw = random.Random(7)
     letters = ["".join(draw.choices(string.ascii_letters, k=24)) for _ in range(300)]
     assert sum(map(found, letters)) == 300
+
+
+def test_rules_and_dashes_take_linear_time():
+    encode = secret_scan.ranks_encoding(PATH).encode_ordinary
+    began = time.time()
+    for run in ("-" * 5000 + "1a2", "ab-" * 5000 + "!", "a1-" * 4000 + "1", "_/" * 5000 + "x9x9x"):
+        secret_scan.random_spans(run, [], encode, 2.4)
+        assert not any(w.match(run[:-1] + "(") for w in secret_scan.WORDS)
+    dense = "token=abcdef1 " * 20_000 + "9fK2mQ7xZp4LwV8sTn3RbY6c"
+    base = secret_scan.base_spans(dense)
+    assert len(base) == 20_000 and len(secret_scan.random_spans(dense, base, encode, 2.4)) == 1
+    assert time.time() - began < 5
+
+
+def test_recall_and_precision_on_planted_strings():
+    """Random strings of 20 to 48 characters in prose, by alphabet, and words of many makes that aren't random."""
+    encode = secret_scan.ranks_encoding(PATH).encode_ordinary
+    draw = random.Random(11)
+    syllables = ["ka", "lo", "ver", "ten", "mi", "ra", "sol", "dan", "per", "it", "ing", "ment", "tion", "ous"]
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + string.digits, "letters": string.ascii_letters, "url": string.ascii_letters + string.digits + "_-"}
+    for name, alphabet in alphabets.items():
+        hit = total = 0
+        for _ in range(300):
+            key = "x" + "".join(draw.choices(alphabet, k=draw.randint(20, 48))) + "x"
+            if any(k.match(key) for k in secret_scan.KNOWN):
+                continue
+            text = f"the value {key} was set"
+            total += 1
+            hit += (10, 3, 10 + len(key)) in secret_scan.random_spans(text, [], encode, 2.4)
+        assert hit >= 0.98 * total, (name, hit, total)
+    wrong = 0
+    for _ in range(1000):
+        word = "".join(draw.choices(syllables, k=draw.randint(3, 5)))
+        joint = draw.choice(["_", "-", "/", ""])
+        name = joint.join([word, *("".join(draw.choices(syllables, k=draw.randint(2, 4))) for _ in range(3))])
+        wrong += bool(secret_scan.random_spans(f"see {name} here", [], encode, 2.4))
+    assert wrong <= 20, wrong
