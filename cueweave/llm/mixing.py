@@ -7,6 +7,8 @@ has had less than one block more or less than w t. Weights are taken as the exac
 numbers q of sum P: the schedule repeats every P slots, and a block's slot follows by arithmetic. A period that is longer
 than the phase is worked out slot by slot only as far as the phase goes. When a source runs out, the rest go on in a new
 phase by their weights; no document is dropped or repeated.
+
+The driver schedules blocks, not rows: the table is at most MOST_BLOCKS blocks and one a source, at any size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKET_BITS = 12
+MOST_BLOCKS = 1 << 18
+LEAST_BLOCK = 16
+BUCKET_ROWS = 1 << 16
 
 
 def period(shares: list[int], blocks: list[int] | None = None) -> list[int]:
@@ -107,15 +111,17 @@ def phases(blocks: list[int], shares: list[int]) -> list[Phase]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int = 16, slots_a_period: int | None = None, names: tuple[str, str] = ("slot", "place")) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, slots_a_period: int | None = None, names: tuple[str, str] = ("slot", "place")) -> DataFrame:
     """docs with the slot of each row's block and the row's place in it: reading by (slot, place) is the mixture.
 
     weights: by source, relative; sources that it lacks take the least weight given. Without weights a source weighs
     its number of rows to the given power. A null source is a source like others; rows that repeat get places of
-    their own; an empty table stays empty. slots_a_period rounds the weights to whole shares of so many slots, which must
-    be no fewer than the sources; without it the weights are kept exactly. The sources' counts alone reach the driver,
-    but unless the weights have a short period it works out every slot: a number for each block, sent with the plan. A
-    source's rows are numbered in 4096 hash buckets, so that one source with a third of all rows is many groups.
+    their own; an empty table stays empty; other columns, of whatever names, are kept. block: rows; by default
+    LEAST_BLOCK, or as many more as make MOST_BLOCKS blocks of the table. slots_a_period rounds the weights to whole
+    shares of so many slots, which must be no fewer than the sources; without it the weights are kept exactly. The
+    sources' counts alone reach the driver, and a number for each block is sent with the plan. A source's rows are
+    numbered in hash buckets of about BUCKET_ROWS, so that one source with a third of all rows is many groups. Rows are
+    shuffled once.
     """
     slot, place = names
     if {slot, place} & set(docs.columns):
@@ -123,11 +129,11 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_c
     spark = docs.sparkSession
     whole = F.struct(*[docs[c] for c in docs.columns])  # so that no name of docs clashes with one from here on
     src = docs.select(whole.alias("row"), docs[source_col].alias("source"), F.xxhash64(docs[id_col], F.lit(7)).alias("key"))
-    src = src.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS).cast("int"))
-    sizes = src.groupBy(F.col("source").alias("of"), F.col("bucket").alias("b")).count()
-    totals = sorted(((r["of"], r["n"]) for r in sizes.groupBy("of").agg(F.sum("count").alias("n")).collect()), key=lambda r: (r[0] is not None, str(r[0])))
+    totals = sorted(((r["source"], r["n"]) for r in src.groupBy("source").agg(F.count("*").alias("n")).collect()), key=lambda r: (r[0] is not None, str(r[0])))
     if not totals:
         return docs.withColumn(slot, F.lit(0).cast("long")).withColumn(place, F.lit(0).cast("long"))
+    if block is None:
+        block = max(LEAST_BLOCK, -(-sum(n for _, n in totals) // MOST_BLOCKS))
     if weights is None:
         wanted = [float(n) ** power for _, n in totals]
     else:
@@ -144,17 +150,22 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, id_c
         rounds, rest = divmod(p.slots, len(p.pattern))
         for s in p.pattern[:rest]:
             had[s] += 1
-        plan += [(totals[s][0], p.first[s], p.first[s] + rounds * len(spots[s]) + had[s], p.begin, len(p.pattern), spots[s]) for s in range(len(totals)) if spots[s]]
+        plan += [(s, p.first[s], p.first[s] + rounds * len(spots[s]) + had[s], p.begin, len(p.pattern), spots[s]) for s in range(len(totals)) if spots[s]]
+    table = spark.createDataFrame(plan, "of int, low long, high long, begin long, period long, spots array<int>")
     kind = docs.schema[source_col].dataType.simpleString()
-    table = spark.createDataFrame(plan, f"of {kind}, low long, high long, begin long, period long, spots array<int>")
-    order = W.partitionBy("of").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    codes = spark.createDataFrame([(s, i, max(1, n // BUCKET_ROWS)) for i, (s, n) in enumerate(totals)], f"name {kind}, code int, buckets int")
+    src = src.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")  # a row a source
+    src = src.withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int")).drop("buckets")
+    sizes = src.groupBy(F.col("code").alias("c"), F.col("bucket").alias("b")).count()
+    order = W.partitionBy("c").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("count").over(order), F.lit(0))).drop("count")
-    src = src.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b"))).drop("of", "b")
     ties = [] if "map<" in docs.select(whole).dtypes[0][1] else ["row"]
-    within = W.partitionBy("source", "bucket").orderBy("key", *ties)
-    src = src.withColumn("nth", F.col("before") + F.row_number().over(within) - 1).withColumn("rank", F.floor(F.col("nth") / block))
+    within = W.partitionBy("code", "bucket").orderBy("key", *ties)
+    src = src.withColumn("nth", F.row_number().over(within))
+    src = src.join(starts, (F.col("code") == F.col("c")) & (F.col("bucket") == F.col("b"))).drop("c", "b")
+    src = src.withColumn("nth", F.col("nth") + F.col("before") - 1).withColumn("rank", F.floor(F.col("nth") / block))
     # One row for each phase and source that it serves; a phase's spots are its pattern's slots.
-    src = src.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    src = src.join(F.broadcast(table), (F.col("code") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at, each = F.col("rank") - F.col("low"), F.size("spots")
     found = F.col("begin") + F.floor(at / each) * F.col("period") + F.get("spots", (at % each).cast("int"))
     return src.select("row.*", found.cast("long").alias(slot), (F.col("nth") % block).cast("long").alias(place))

@@ -58,16 +58,20 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Target weights: the k-th of the sources in order of names weighs 1 / k."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    names = sorted(r["source"] for r in docs.select("source").distinct().collect() if r["source"] is not None)
+    return mixing.mixed(docs, {s: 1 / k for k, s in enumerate(names, 1)} or None)
 
 
-#: The production key comes from the job's settings; this one is for queries and tests.
-PII_KEY = "a key for tests"
+def pii_key(spark: SparkSession) -> str:
+    """The job's setting spark.cueweave.pii.key; without it a fixed one, for queries and tests."""
+    return spark.conf.get("spark.cueweave.pii.key", "a key for tests")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, count_col="n_replaced")
+    return pii.pseudonymise(docs, pii_key(spark), count_col="n_replaced")
 
 
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+PII_KEY = "a key for tests"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontam": op2_decontam,

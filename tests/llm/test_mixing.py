@@ -1,8 +1,12 @@
+import math
+import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cueweave.llm import mixing
 
@@ -89,3 +93,33 @@ def test_deviation_from_the_given_weights_with_many_sources(spark):
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), {"big": 1100, "s0": 1}, block=4).collect()
     assert sorted((r["doc_id"], r["source"]) for r in got) == sorted(rows)
     assert sorted({r["slot"] for r in got}) == list(range(50 + 1100))
+
+
+def test_deviation_over_many_slots_and_sources():
+    draw = random.Random(5)
+    for weights in ([1 / 3] * 3, [0.7, 0.2, 0.09, 0.01], [0.9995, 0.0004, 0.0001], [draw.random() + 1e-4 for _ in range(2000)]):
+        slots, total = 20_000, sum(map(Fraction, weights))
+        blocks = [math.ceil(slots * w / sum(weights)) + 2 for w in weights]  # no source runs out
+        p = mixing.phases(blocks, mixing.exact_shares(weights))[0]
+        assert p.slots >= slots
+        had = [0] * len(weights)
+        shares = [Fraction(w) / total for w in weights]
+        near = [float(x) for x in shares]
+        for t in range(slots):
+            had[p.pattern[t % len(p.pattern)]] += 1
+            if len(weights) < 10 or t % 500 == 0:
+                far = [abs(h - x * (t + 1)) for h, x in zip(had, near)]
+                assert max(far) < 1 - 1e-6 or all(abs(h - x * (t + 1)) < 1 for h, x in zip(had, shares))
+
+
+def test_large_sources_are_cut_into_buckets_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    got = mixing.mixed(docs, {"big": 3, "s0": 1}).collect()  # blocks of 75 rows
+    assert len({r["doc_id"] for r in got}) == len(got) == 3000
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["slot"]].append((r["place"], r["source"]))
+    assert sorted(slots) == list(range(len(slots))) and len(slots) <= 40 + 6
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) and len({s for _, s in v}) == 1 and len(v) <= 75 for v in slots.values())
