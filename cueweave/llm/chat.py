@@ -58,9 +58,10 @@ def parse(rendered: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """(conv_id, n_turns, formatted, loss_spans array<struct<start, end>>, all_escaped), a row a conversation.
+    """(conv_id, n_turns, formatted, loss_spans array<struct<start, end, escaped>>, all_escaped), a row a conversation.
 
-    loss_spans: code points of the trained role's (escaped) texts in `formatted`, end exclusive. Null role or text
+    loss_spans: code points of the trained role's texts in `formatted`, end exclusive, and whether they stand escaped
+    there. An empty table gives no rows; other columns aren't read. Null role or text
     counts as empty; a null turn number comes first; rows that repeat a number are ordered by role and text and all
     kept; a null conversation id is an id like others. A conversation's string is one row of the result, so the rows
     of one conversation meet in one task by the nature of the result.
@@ -81,7 +82,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     def span(piece: str, offset: str, escaped: Column) -> Column:
         head = F.when(escaped, F.lit(len(ESCAPED)) + F.length(escape(F.col("role")))).otherwise(F.lit(len(PLAIN)) + F.length("role")) + 2
-        return F.when(mine, F.struct((F.col(offset) + head).cast("long").alias("start"), (F.col(offset) + F.length(piece) - len(END)).cast("long").alias("end")))
+        return F.when(mine, F.struct((F.col(offset) + head).cast("long").alias("start"), (F.col(offset) + F.length(piece) - len(END)).cast("long").alias("end"), escaped.alias("escaped")))
 
     rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).withColumn("whole_at", F.coalesce(F.sum(F.length("whole")).over(before), F.lit(0)))
     rows = rows.select("conv_id", F.struct("nth", "role", "text", "piece", "whole", span("piece", "at", F.col("escaped")).alias("span"), span("whole", "whole_at", F.lit(True)).alias("whole_span")).alias("t"))
@@ -93,11 +94,11 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     return held.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.when(F.col("all_escaped"), F.array_join(F.col("t.whole"), "")).otherwise(F.col("formatted")).alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"), "all_escaped")
 
 
-def read_back(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Adds turns array<struct<role, text>>, parsed from `formatted`, and loss_text: the texts under the mask, unescaped.
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Adds turns array<struct<role, text>>, parsed from `formatted`, and loss_text: what stands under loss_spans, unescaped."""
 
-    The spans are those of the trained role's turns in order, so the parsed turns give their texts in one pass.
-    """
-    turns = parse(F.col("formatted"))
-    out = formatted.withColumn("turns", turns)
-    return out.withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == trained_role), lambda t: t["text"]), ""))
+    def text(s: Column) -> Column:
+        part = F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.when(s["escaped"], unescape(part)).otherwise(part)
+
+    return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_text", F.array_join(F.transform("loss_spans", text), ""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, slices
+from .common import id_and_text, slices
 
 FEATURES = ("log_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "pipe_share", "bang_share", "distinct_share", "words_a_line", "wide_share", "longest_word")
 #: The sign that a feature may move the probability of good quality in.
@@ -169,18 +169,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{b} bigint' for b in BASE)}, features array<double>")
 
 
-def fit(measures: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = 20_000) -> Trees:
-    """Train on labelled rows, at most most_rows of them: all, or those below a threshold of their ids' hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", most_rows: int = 20_000) -> Trees:
+    """Train on labelled rows, at most most_rows of them: all, or those of the least hashes of id and text.
 
-    Labels other than 0 and 1 are ignored; of several labels for one id the lowest holds.
+    Only the rows in the sample are measured. Labels other than 0 and 1 are ignored; of several labels for one id the
+    lowest holds.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").alias("of_id")).agg(F.min(label_col).alias("y"))
+    known = labels.select(F.col(label_id_col).alias("of_id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("of_id").isNotNull()).groupBy("of_id").agg(F.min("y").alias("y"))
     there = known.count()
     if there > 0.95 * most_rows:  # filtered before anything is sent: no task sends more than its share
         known = known.where(F.pmod(F.xxhash64("of_id"), F.lit(1 << 30)) < int(0.95 * most_rows / there * (1 << 30)))
-    sample = measures.join(known, F.col("doc_id") == F.col("of_id")).select("y", "features").limit(most_rows).toPandas()
-    x = np.array(sample["features"].tolist(), float).reshape(len(sample), len(FEATURES))
-    y = sample["y"].to_numpy(float)
+    src = id_and_text(docs, id_col, text_col).join(F.broadcast(known.limit(most_rows)), F.col("doc_id") == F.col("of_id"))
+    hashed = F.xxhash64("doc_id", "text")
+    labelled = src.select(F.struct(hashed.alias("hash"), "y").alias("doc_id"), "text")
+    found = measured(labelled).select("doc_id.hash", "doc_id.y", "features").orderBy("hash", "y", "features").limit(most_rows).toPandas()
+    x = np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES))
+    y = found["y"].to_numpy(float)
     order = np.lexsort([y, *x.T])  # rows come in any order; sums and so trees must not depend on it
     return train(x[order], y[order])
 
@@ -201,14 +205,16 @@ def judged(measures: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: the BASE counts, quality, base_failed, kept. Null text has no words and fails."""
-    measures = cut(measured(docs, id_col, text_col))
-    return judged(measures, fit(measures, labels))
+    """A row for each row of docs: the BASE counts, quality, base_failed, kept. Null text has no words and fails.
+
+    An empty table gives no rows; without labels the prior alone decides; other columns aren't read.
+    """
+    return judged(measured(docs, id_col, text_col), fit(docs, labels, id_col, text_col))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that pass, columns as given. Texts are measured again in place of shuffling them."""
-    model = fit(measured(docs, id_col, text_col), labels)
+    """The rows of docs that pass, columns as given; null texts, without words, don't pass."""
+    model = fit(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
