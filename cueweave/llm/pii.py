@@ -3,7 +3,8 @@
 A value that passes its kind's validation is permuted under a key within its format: digits stay digits, letters
 letters of the same case, separators stay where they are, and the permuted value passes the same validation. Equal
 values (whatever their separators) get equal pseudonyms, so they stay linked across documents; the permutation is a
-bijection of the format, undone with `invert`. The rounds: a value is two halves of small numbers, each below a base;
+bijection of the format, undone with `invert`. Slash dates are read month first; those that are valid only day first
+are permuted among their like, and so aren't linked to the same day in other forms. The domain of an e-mail address stays. The rounds: a value is two halves of small numbers, each below a base;
 every round adds to one half, each number modulo its base, a keyed SHA-512 of the other half, and swaps them.
 """
 
@@ -17,7 +18,7 @@ ROUNDS = 8
 #: Kinds in the order in which they are tried at a position.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -25,6 +26,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Days of a month after the 28th, but for the 29th of February, as 100 * month + day.
+LATE = [100 * m + d for m in range(1, 13) for d in (29, 30, 31) if m != 2 and (d < 31 or m not in (4, 6, 9, 11))]
 #: Days of 1900-01-01 to 2099-12-31: 319 x 229.
 FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 319, 229
 
@@ -120,15 +123,38 @@ def _day(s: Column) -> Column:
     return F.datediff(form.cast("date"), F.lit(FIRST_DAY).cast("date"))
 
 
+def _part(s: Column, nth: int) -> Column:
+    return F.get(F.split(s, "/"), F.lit(nth)).try_cast("int")
+
+
+def _day_first(s: Column) -> Column:
+    """Whether a slash date is valid day first only, in 1900 to 2099."""
+    day = F.try_to_timestamp(s, F.lit("dd/MM/yyyy")).isNotNull() & F.try_to_timestamp(s, F.lit("MM/dd/yyyy")).isNull()
+    return F.contains(s, F.lit("/")) & F.coalesce(day & _part(s, 2).between(1900, 2099), F.lit(False))
+
+
+def _day_first_moved(s: Column, key: str, invert: bool) -> Column:
+    d, m, y = (_part(s, k) for k in range(3))
+    pair = lambda v, i: F.get(v, F.lit(i))
+    written = lambda d, m, y: F.format_string("%02d/%02d/%04d", d.cast("int"), m.cast("int"), y.cast("int"))
+    late = F.array(*(F.lit(x) for x in LATE))
+    early = let(feistel(F.array(y - 1900, m - 1, d - 13), F.array(F.lit(200), F.lit(12), F.lit(16)), key, "day1", invert), lambda v: written(pair(v, 2) + 13, pair(v, 1) + 1, pair(v, 0) + 1900))
+    code = (F.array_position(late, m * 100 + d) - 1).cast("int")
+    last = let(feistel(F.array(y - 1900, code), F.array(F.lit(200), F.lit(len(LATE))), key, "day2", invert), lambda v: let(F.get(late, pair(v, 1)), lambda c: written(c % 100, F.floor(c / 100), pair(v, 0) + 1900)))
+    nth = F.floor((y - 1904) / 4).cast("int")
+    leap = let(feistel(F.array(F.floor(nth / 7).cast("int"), nth % 7), F.array(F.lit(7), F.lit(7)), key, "day3", invert), lambda v: written(F.lit(29), F.lit(2), 1904 + 4 * (7 * pair(v, 0) + pair(v, 1))))
+    return F.when(d <= 28, early).when(m == 2, leap).otherwise(last)
+
+
 def valid(kind: str, s: Column) -> Column:
     """Whether a match of the kind's pattern is a value of that kind."""
     digits = _digits(s)
     if kind == "iban":
-        return _mod97(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))) == 1
+        return let(F.replace(s, F.lit(" "), F.lit("")), lambda c: (F.length(c) >= 15) & (_mod97(F.concat(F.substr(c, F.lit(5)), F.substr(c, F.lit(1), F.lit(4)))) == 1))
     if kind == "ip":
         return F.forall(_octets(s), lambda o: F.coalesce(o <= 255, F.lit(False))) & ~s.rlike(r"(^|\.)0[0-9]")
     if kind == "date":
-        return F.coalesce(_day(s).between(0, DAY_HIGH * DAY_LOW - 1), F.lit(False))
+        return F.coalesce(_day(s).between(0, DAY_HIGH * DAY_LOW - 1), F.lit(False)) | _day_first(s)
     if kind == "ssn":
         return ~s.rlike("^(000|666|9)|-00-|-0000$")
     if kind == "phone":
@@ -147,13 +173,15 @@ def replaced(kind: str, s: Column, key: str, invert: bool) -> Column:
     if kind == "iban":
         country = F.substr(s, F.lit(1), F.lit(2))
         check = lambda b: F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-        return let(permuted_string(F.substr(s, F.lit(5)), key, kind, invert), lambda b: F.concat(country, check(b), b))
+        body = permuted_string(F.replace(F.substr(s, F.lit(5)), F.lit(" "), F.lit("")), key, kind, invert)
+        return _threaded(_chars(let(body, lambda b: F.concat(country, check(b), b))), s, "[A-Za-z0-9]")
     if kind == "ip":
         return F.array_join(feistel(_octets(s), F.array_repeat(F.lit(256), 4), key, kind, invert).cast("array<string>"), ".")
     if kind == "date":
         moved = let(_day(s), lambda d: feistel(F.array(F.floor(d / DAY_LOW).cast("int"), d % DAY_LOW), F.array(F.lit(DAY_HIGH), F.lit(DAY_LOW)), key, kind, invert))
         new = let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), pair(m, 0) * DAY_LOW + pair(m, 1)))
-        return let(new, lambda d: F.when(F.contains(s, F.lit("-")), F.date_format(d, "yyyy-MM-dd")).when(F.contains(s, F.lit("/")), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
+        whole = let(new, lambda d: F.when(F.contains(s, F.lit("-")), F.date_format(d, "yyyy-MM-dd")).when(F.contains(s, F.lit("/")), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
+        return F.when(_day_first(s), _day_first_moved(s, key, invert)).otherwise(whole)
     if kind == "ssn":
         index = lambda d: F.array(number(d, 1, 3) - 1 - (number(d, 1, 3) > 666).cast("int"), number(d, 4, 2) - 1, number(d, 6, 4) - 1)
         moved = feistel(let(_digits(s), index), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, kind, invert)
@@ -175,11 +203,14 @@ def pseudonym(s: Column, key: str, invert: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, invert: bool = False) -> DataFrame:
-    """docs with valid values in text_col replaced; other columns and null texts stay as they are.
+    """docs with valid values in text_col replaced; other columns, null and empty texts stay as they are.
 
+    Rows that repeat are replaced alike; an empty table stays empty. With a count_col that docs has already, it raises.
     count_col: adds how many values were replaced. No row is moved: the plan is one projection. Texts without a digit
     or an at sign aren't looked at further.
     """
+    if count_col in docs.columns:
+        raise ValueError(f"docs has a column {count_col} already")
     text = F.col(text_col)
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     both = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, key, invert).alias("new")))
