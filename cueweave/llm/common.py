@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
