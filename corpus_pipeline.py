@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, PII, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs.
+stage's docs. Every stage takes nulls in any column, empty texts, repeated rows, empty tables and further columns; all but
+the last keep the columns as they are.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cueweave.llm import decontam, jaccard, mixing, pii, quality
-from cueweave.llm.common import shared_folder, table
-from cueweave.llm.queries import PII_KEY
+from cueweave.llm.common import removed, shared_folder, table
+from cueweave.llm.queries import pii_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles are similar by 0.8 or more, the one with the smallest id stays."""
+    """Of documents whose sets of five-word shingles are similar by 0.8 or more, the one with the smallest id stays.
+
+    SimHash compares what shares a rare shingle, whole sets confirm it; copies go by chains of such pairs.
+    """
     return jaccard.keep_one(docs, shingle=5, least=0.8)
 
 
@@ -32,7 +36,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid private values are replaced by pseudonyms."""
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; earlier stages' files are removed once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
