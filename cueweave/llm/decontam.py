@@ -3,7 +3,9 @@
 An alignment with a share s of the best score of an item of n words matches at least s n of the item's words within
 (3 - 2 s) n words of the document, since every edit costs half a match. So of any r words of the item at least
 r - (n - s n) are matched there. The item's rarest r words, by a count over all documents, are its seeds: documents
-with so many of them near each other are aligned with the item word by word, and no others can hold it. The items are
+with so many of them near each other may hold it. Of an alignment with m matches in r runs, at least r - 1 edits stand between
+the runs, so that matched words and matched pairs of neighbours are 2 s n - 1 or more together: stretches of the
+document with fewer of the item's words and neighbours go, the rest are aligned word by word. The items are
 taken in blocks of bounded size: a stated query set against all documents; each block is one more pass over them, and
 nothing is shuffled but the counts.
 """
@@ -46,6 +48,9 @@ class Seeds:
             seeds += [(int(numbers[i]), k) for i in order[: last + 1]]
         seeds.sort()
         self.need, self.span = np.array(need, np.int64), np.array(span, np.int64)
+        self.least = least_score
+        self.held = np.zeros(len(self.index.number) + 1, np.int64)
+        self.pairs = [np.unique(self.index.keys(ids, 2)) if len(ids) > 1 else np.zeros(0, np.int64) for ids in self.index.ids]
         self.items_of = np.array([k for _, k in seeds], np.int64)
         self.starts = np.searchsorted(np.array([w for w, _ in seeds], np.int64), np.arange(len(self.index.number) + 2))
 
@@ -72,12 +77,32 @@ class Seeds:
                 out.append((k, begin, end))
         return out
 
+    def narrowed(self, ids: np.ndarray, k: int, begin: int, end: int) -> Iterator[tuple[int, int]]:
+        """The parts of a region whose windows hold enough words and neighbours of the item."""
+        item, part = self.index.ids[k], ids[begin:end]
+        need, window = self.least * len(item) - 1e-9, min(int(self.span[k]), len(part))
+        self.held[item] = 1
+        sums = np.r_[0, np.cumsum(self.held[part])]
+        self.held[item] = 0
+        words = sums[window:] - sums[:-window]
+        if words.max(initial=0) < need:
+            return
+        both = part[:-1] * (len(self.index.number) + 1) + part[1:]
+        pairs = self.pairs[k]
+        there = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both if len(pairs) else np.zeros(len(both), bool)
+        sums = np.r_[0, np.cumsum(there)]
+        at = np.flatnonzero((words >= need) & (words + sums[window - 1 :] - sums[: len(sums) - window + 1] >= 2 * need - 1))
+        if len(at):
+            cuts = np.flatnonzero(np.diff(at) > window) + 1
+            for run in np.split(at, cuts):
+                yield begin + int(run[0]), begin + int(run[-1]) + window
+
     def matches(self, text: str | None, least_score: float) -> list[tuple]:
         """(item id, score, begin, end) in code points of text, the best of each item."""
         words = plain_words(text)
         ids = self.index.numbers(words)
         found: dict = {}
-        for k, begin, end in self.regions(ids):
+        for k, begin, end in ((k, *part) for k, low, high in self.regions(ids) for part in self.narrowed(ids, k, low, high)):
             item = self.index.ids[k]
             score, b, e = smith_waterman(item, ids[begin:end])
             score = score / (2 * len(item))
