@@ -24,11 +24,26 @@ from pyspark.sql import functions as F
 from .common import id_and_text, slices
 from .grams import WORD, GramIndex, plain_words, smith_waterman
 
-SPARE = 4  # an item has a quarter of its words as seeds beyond those that an alignment can miss
+SPARE = 8  # an item has an eighth of its words as seeds beyond those that an alignment can miss
 ITEMS_A_BLOCK = 10_000
 CHARS_A_BLOCK = 64 << 20
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """The sums of x's beginnings, the empty one first."""
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def _shared(numbers: np.ndarray, times: np.ndarray, among: np.ndarray) -> int:
+    """How many of the numbers, each so many times at most, stand in `among`."""
+    if not len(numbers):
+        return 0
+    at = np.minimum(np.searchsorted(numbers, among), len(numbers) - 1)
+    return int(np.minimum(np.bincount(at[numbers[at] == among], minlength=len(numbers)), times).sum())
+
+
 class Seeds:
     def __init__(self, items: list[tuple], counts: dict[int, int] | None = None, least_score: float = 0.5):
         """items: (id, words). counts: documents that hold a word, by its number."""
@@ -42,7 +57,7 @@ class Seeds:
             numbers, times = np.unique(ids, return_counts=True)
             order = sorted(range(len(numbers)), key=lambda i: (counts.get(int(numbers[i]), 0), int(numbers[i])))
             many = np.cumsum(times[order])
-            last = int(np.searchsorted(many, min(n, missed + 1 + n // SPARE)))
+            last = int(np.searchsorted(many, min(n, missed + 1 + int(n // SPARE))))
             need.append(max(1, int(many[last]) - missed))
             span.append(max(n, math.floor((3 - 2 * least_score) * n + 1e-9)))
             seeds += [(int(numbers[i]), k) for i in order[: last + 1]]
@@ -50,7 +65,8 @@ class Seeds:
         self.need, self.span = np.array(need, np.int64), np.array(span, np.int64)
         self.least = least_score
         self.held = np.zeros(len(self.index.number) + 1, np.int64)
-        self.pairs = [np.unique(self.index.keys(ids, 2)) if len(ids) > 1 else np.zeros(0, np.int64) for ids in self.index.ids]
+        self.words = [np.unique(ids, return_counts=True) for ids in self.index.ids]
+        self.pairs = [np.unique(self.index.keys(ids, 2) if len(ids) > 1 else np.zeros(0, np.int64), return_counts=True) for ids in self.index.ids]
         self.items_of = np.array([k for _, k in seeds], np.int64)
         self.starts = np.searchsorted(np.array([w for w, _ in seeds], np.int64), np.arange(len(self.index.number) + 2))
 
@@ -82,20 +98,24 @@ class Seeds:
         item, part = self.index.ids[k], ids[begin:end]
         need, window = self.least * len(item) - 1e-9, min(int(self.span[k]), len(part))
         self.held[item] = 1
-        sums = np.r_[0, np.cumsum(self.held[part])]
+        sums = _sums(self.held[part])
         self.held[item] = 0
         words = sums[window:] - sums[:-window]
         if words.max(initial=0) < need:
             return
         both = part[:-1] * (len(self.index.number) + 1) + part[1:]
-        pairs = self.pairs[k]
+        pairs = self.pairs[k][0]
         there = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both if len(pairs) else np.zeros(len(both), bool)
-        sums = np.r_[0, np.cumsum(there)]
+        sums = _sums(there)
         at = np.flatnonzero((words >= need) & (words + sums[window - 1 :] - sums[: len(sums) - window + 1] >= 2 * need - 1))
         if len(at):
             cuts = np.flatnonzero(np.diff(at) > window) + 1
             for run in np.split(at, cuts):
-                yield begin + int(run[0]), begin + int(run[-1]) + window
+                low, high = int(run[0]), int(run[-1]) + window
+                # What the item has fewer times than the stretch counts as often as the item has it.
+                many = _shared(*self.words[k], part[low:high])
+                if many >= need and many + _shared(*self.pairs[k], both[low : high - 1]) >= 2 * need - 1:
+                    yield begin + low, begin + high
 
     def matches(self, text: str | None, least_score: float) -> list[tuple]:
         """(item id, score, begin, end) in code points of text, the best of each item."""
