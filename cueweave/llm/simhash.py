@@ -205,6 +205,18 @@ def _root(label: np.ndarray, x: int) -> int:
     return int(x)
 
 
+def starred(found: np.ndarray, n: int) -> np.ndarray:
+    """The links of a forest of n rows, each row linked to its tree's least row: chains would cost rounds later."""
+    label = np.arange(n)
+    for a, b in found.tolist():
+        ra, rb = _root(label, a), _root(label, b)
+        label[max(ra, rb)] = min(ra, rb)
+    while not (label[label] == label).all():
+        label = label[label]
+    rows = np.flatnonzero(label != np.arange(n))
+    return np.stack([label[rows], rows], 1)
+
+
 def split_keys(fp: Column) -> Column:
     """16 keys of 28 bits for radius 3 of one 64-bit word."""
     word = F.element_at(fp, 1)
@@ -266,7 +278,7 @@ def similar_sets(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def links(keyed: DataFrame, radius: int, chunk: int = 4096, least: float | None = None) -> DataFrame:
-    """keyed (key, node, fp), distinct. Returns (a, b): a spanning forest of each key's links of nodes.
+    """keyed (key, node, fp), distinct. Returns (a, b): for each key, the nodes that its links join, each with one of them.
 
     With least, keyed has size, and nodes whose sizes' quotient is below least aren't linked. Where keyed also has
     grams array<bigint>, sorted sets, two nodes are linked only if these sets have a Jaccard similarity of least.
@@ -299,7 +311,7 @@ def links(keyed: DataFrame, radius: int, chunk: int = 4096, least: float | None
             if confirmed:
                 flat, ends = column("grams").flatten().to_numpy(), np.r_[0, np.cumsum(column("size").to_numpy())]
                 confirm = lambda i, j: similar_sets(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], least)
-            found = links_in_runs(column("at").to_numpy(), fps, radius, allowed, confirm)
+            found = starred(links_in_runs(column("at").to_numpy(), fps, radius, allowed, confirm), rows.num_rows)
             return pa.RecordBatch.from_arrays([column("node").take(pa.array(found[:, 0])), column("node").take(pa.array(found[:, 1]))], names=["a", "b"])
 
         for batch in batches:

@@ -90,6 +90,14 @@ def test_bit_sliced_links_join_what_distances_join(width, radius, runs):
     assert len(got) == len(keys) - len(set(classes(got.tolist())))
 
 
+def test_stars_join_what_forests_join():
+    draw = np.random.default_rng(4)
+    chain = np.array([(i, i + 1) for i in range(500)] + [(700, 600), (650, 700), (800, 650)])
+    found = simhash.starred(draw.permutation(chain), 900)
+    assert sorted(map(tuple, found.tolist())) == [(0, i) for i in range(1, 501)] + [(600, i) for i in (650, 700, 800)]
+    assert simhash.starred(np.zeros((0, 2), np.int64), 3).shape == (0, 2)
+
+
 def test_hot_keys_are_cut_into_chunks_without_losing_links(spark):
     draw = np.random.default_rng(2)
     fps = sorted({int(sum(1 << int(b) for b in draw.choice(20, 3, replace=False))) for _ in range(400)})
