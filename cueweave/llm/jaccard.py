@@ -130,7 +130,7 @@ def _confirmed(texts: DataFrame, loose: DataFrame, nodes: DataFrame, shingle: in
 
     kind = nodes.schema["name"].dataType.simpleString()
     sets = cut(rows.select("key", "name", "fp", "text").mapInArrow(run, f"key bigint, node {kind}, fp array<bigint>, size int, grams array<bigint>"))
-    return links(sets, RADIUS, chunk, least)
+    return links(sets, RADIUS, max(2, chunk // 4), least)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = LEAST, chunk: int = 4096) -> DataFrame:

@@ -147,12 +147,11 @@ def links_in_runs(
     fps: np.ndarray,
     radius: int,
     allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
-    confirm: Callable[[int, int], bool] | None = None,
 ) -> np.ndarray:
     """A spanning forest of the links within runs of equal keys: [links, 2] of row numbers. keys are sorted.
 
-    allowed and confirm say which of the pairs within the radius are links: the one for arrays of row numbers, the
-    other, called only for pairs that no link joins yet, for two row numbers. A run that is joined is compared no more.
+    allowed says for arrays of row numbers which pairs within the radius are links. A run that is joined is compared no
+    more.
     """
     n = len(keys)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -184,7 +183,7 @@ def links_in_runs(
             i = i[allowed(origin[i], origin[i + shift])]
         for a in i.tolist():
             ra, rb = _root(label, a), _root(label, a + shift)
-            if ra != rb and (confirm is None or confirm(int(origin[a]), int(origin[a + shift]))):
+            if ra != rb:
                 label[max(ra, rb)] = min(ra, rb)
                 out.append((a, a + shift))
                 missing[run[a]] -= 1
@@ -267,14 +266,33 @@ def with_keys(nodes: DataFrame, keys: Column | Callable[[np.ndarray], np.ndarray
     return nodes.select("node", "fp").mapInArrow(run, f"node {nodes.schema['node'].dataType.simpleString()}, fp array<bigint>, key bigint")
 
 
-def similar_sets(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sets, as sorted arrays, is `least` or more."""
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    if not len(small) or len(small) < least * len(large) - 1e-9:
-        return False
-    at = np.searchsorted(large, small)
-    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+def similar_forest(sets: list[np.ndarray], fps: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets, none empty, within the radius whose Jaccard similarity is `least` or more.
+
+    A set is held against all later ones that no link joins to it yet, in one pass over their members.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    starts, mine = ends - sizes, np.zeros(int(number.max()) + 1, np.int32)
+    words = fps.view(np.uint64)
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        later = later[(sizes[later] >= least * sizes[i] - 1e-9) & (sizes[i] >= least * sizes[later] - 1e-9)]
+        later = later[np.bitwise_count(words[later] ^ words[i]).sum(1) <= radius]
+        if not len(later):
+            continue
+        own = number[starts[i] : ends[i]]
+        mine[own] = 1
+        members = np.concatenate([number[starts[j] : ends[j]] for j in later.tolist()])
+        shared = np.add.reduceat(mine[members], np.cumsum(sizes[later]) - sizes[later])
+        mine[own] = 0
+        for j in later[shared >= least * (sizes[i] + sizes[later] - shared) - 1e-9].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
 
 
 def links(keyed: DataFrame, radius: int, chunk: int = 4096, least: float | None = None) -> DataFrame:
@@ -304,14 +322,19 @@ def links(keyed: DataFrame, radius: int, chunk: int = 4096, least: float | None
             held.clear()
             column = lambda c: rows[c].chunk(0)
             fps = column("fp").flatten().to_numpy().reshape(rows.num_rows, -1)
-            allowed = confirm = None
-            if least is not None:
-                sizes = column("size").to_numpy()
-                allowed = lambda i, j: np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9
+            at = column("at").to_numpy()
             if confirmed:
-                flat, ends = column("grams").flatten().to_numpy(), np.r_[0, np.cumsum(column("size").to_numpy())]
-                confirm = lambda i, j: similar_sets(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], least)
-            found = starred(links_in_runs(column("at").to_numpy(), fps, radius, allowed, confirm), rows.num_rows)
+                flat, ends = column("grams").flatten().to_numpy(), np.cumsum(column("size").to_numpy())
+                sets, pairs = np.split(flat, ends[:-1]), []
+                for mine in np.split(np.arange(len(at)), np.flatnonzero(at[1:] != at[:-1]) + 1):
+                    if len(mine) > 1:
+                        pairs += [(mine[i], mine[j]) for i, j in similar_forest([sets[i] for i in mine], fps[mine], radius, least)]
+                found = np.array(pairs, np.int64).reshape(-1, 2)
+            else:
+                sizes = None if least is None else column("size").to_numpy()
+                allowed = None if least is None else lambda i, j: np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9
+                found = links_in_runs(at, fps, radius, allowed)
+            found = starred(found, rows.num_rows)
             return pa.RecordBatch.from_arrays([column("node").take(pa.array(found[:, 0])), column("node").take(pa.array(found[:, 1]))], names=["a", "b"])
 
         for batch in batches:
