@@ -4,6 +4,7 @@ not on whole tables in reasonable time, have none and are tested against brute f
 from __future__ import annotations
 
 from ..functions import text as T
+from . import review_oracle
 
 _TIMELINE = "t AS (SELECT user_id AS session_id, event_id AS segment_id, event_type, value, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 60.0 AS e FROM events)"
 _NORMAL = r"trim(regexp_replace(lower(replace(replace({0}, '’', ''''), '‘', '''')), '[^\p{{L}}\p{{N}}_'']+', ' ', 'g'))"
@@ -107,3 +108,5 @@ SQL: dict[str, str] = {
     "q31_segment_usage": "WITH x AS (SELECT l_orderkey AS line_id, l_suppkey AS session_id, CAST(l_linenumber + d AS BIGINT) AS base_index FROM lineitem, (VALUES (0), (1)) v(d)) SELECT session_id, base_index, count(DISTINCT line_id) AS n_lines, bool_or(line_id = 7) AS used_here, bool_or(line_id <> 7) AS used_elsewhere FROM x GROUP BY 1, 2",
     "q32_edit_sources": "WITH RECURSIVE r AS (SELECT c_custkey AS segment_id, c_custkey AS a, 0 AS steps FROM customer UNION ALL SELECT segment_id, CAST(floor(a / 3) AS BIGINT), steps + 1 FROM r WHERE a > 0) SELECT segment_id, a AS source_id, CAST(steps AS BIGINT) AS steps FROM r WHERE a = 0",
 }
+
+SQL |= review_oracle.SQL

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import assignment, intervals, review, spans
 from ..settings import Settings
 from ..sources.tables import cache_misses, parquet
+from . import review_queries
 from .bindings import script, takes, timeline
 
 HOUR = 3600.0
@@ -304,4 +305,4 @@ def q34_fidelity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("segment_id", "f.ordered_similarity", "f.token_coverage", "f.token_precision", "f.extra_word_count", "s.clause_count", "s.missing_clause_count", "s.minimum_clause_score"))
 
 
-QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()} | review_queries.QUERIES
