@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,33 +63,63 @@ def token_ratio(a: str, b: str) -> float:
     return ratio(a, b)
 
 
-def token_operations(expected: list[str], observed: list[str], least: float = TOKEN_LEAST) -> list[tuple[str, int, int]]:
-    """Cheapest ordered edits of expected into observed: (operation, place in expected or -1, place in observed or -1).
+class TokenCosts:
+    """What it costs to match each expected with each observed token; any stretch of either side can be aligned.
 
-    Tokens of a ratio of `least` or more match at a quarter of what they lack to 100; the rest costs one each. Where
-    costs are equal, a match comes before a deletion, that before an insertion, that before a substitution.
+    Tokens of a ratio of `least` or more match at a quarter of what they lack to 100; deletions, insertions and
+    substitutions cost one each. Ratios are worked out once for each pair of different tokens.
     """
-    n, m = len(expected), len(observed)
-    cost = [[float(j) for j in range(m + 1)]]
-    came = [[2] * (m + 1)]
-    names = ("match", "delete", "insert", "substitute")
-    for i, e in enumerate(expected, 1):
-        row, how = [float(i)], [1]
-        above = cost[-1]
-        for j, o in enumerate(observed, 1):
-            score = token_ratio(e, o)
-            close = score >= least
-            best = min((above[j - 1] + (0.25 * (100.0 - score) / 100.0 if close else 1.0), 0 if close else 3), (above[j] + 1.0, 1), (row[j - 1] + 1.0, 2))
-            row.append(best[0])
-            how.append(best[1])
-        cost.append(row)
-        came.append(how)
-    out, i, j = [], n, m
-    while i or j:
-        step = came[i][j] if i else 2
-        i, j = i - (step != 2), j - (step != 1)
-        out.append((names[step], -1 if step == 2 else i, -1 if step == 1 else j))
-    return out[::-1]
+
+    def __init__(self, expected: list[str], observed: list[str], least: float = TOKEN_LEAST):
+        names, rows = np.unique(np.array(expected, object).astype(str), return_inverse=True) if expected else (np.zeros(0, str), np.zeros(0, np.int64))
+        others, columns = np.unique(np.array(observed, object).astype(str), return_inverse=True) if observed else (np.zeros(0, str), np.zeros(0, np.int64))
+        found = np.full((len(names), len(others)), -1.0)
+        for i, x in enumerate(names.tolist()):
+            for j, y in enumerate(others.tolist()):
+                score = token_ratio(x, y)
+                if score >= least:
+                    found[i, j] = 0.25 * (100.0 - score) / 100.0
+        self.match = found[np.ix_(rows, columns)]
+
+    def operations(self, rows: slice = slice(None), columns: slice = slice(None)) -> list[tuple[str, int, int]]:
+        """The cheapest ordered edits of a stretch into a stretch: (operation, expected place or -1, observed place or -1).
+
+        Of equally cheap ones a match is taken before a deletion, that before an insertion, that before a substitution,
+        from the end on.
+        """
+        match = self.match[rows, columns]
+        n, m = match.shape
+        total = np.empty((n + 1, m + 1))
+        total[0] = np.arange(m + 1)
+        step = np.where(match >= 0, match, 1.0)
+        for i in range(n):
+            row = total[i] + 1.0
+            row[1:] = np.minimum(row[1:], total[i, :-1] + step[i])
+            # Insertions along the row, added one by one: which of nearly equal costs is less depends on the rounding.
+            total[i + 1] = list(accumulate(row.tolist(), lambda left, here: min(here, left + 1.0)))
+        out, (i, j) = [], (n, m)
+        while i or j:
+            here = total[i, j]
+            if i and j and match[i - 1, j - 1] >= 0 and here == total[i - 1, j - 1] + match[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("match", i, j))
+            elif i and here == total[i - 1, j] + 1.0:
+                i -= 1
+                out.append(("delete", i, -1))
+            elif j and here == total[i, j - 1] + 1.0:
+                j -= 1
+                out.append(("insert", -1, j))
+            else:
+                i, j = i - 1, j - 1
+                out.append(("substitute", i, j))
+        return out[::-1]
+
+    def matches(self, rows: slice = slice(None), columns: slice = slice(None)) -> list[tuple[int, int]]:
+        return [(e, o) for kind, e, o in self.operations(rows, columns) if kind == "match"]
+
+
+def token_operations(expected: list[str], observed: list[str], least: float = TOKEN_LEAST) -> list[tuple[str, int, int]]:
+    return TokenCosts(expected, observed, least).operations()
 
 
 def edge_edits(operations: list[str]) -> dict[str, int]:
@@ -110,11 +142,13 @@ def fidelity(expected: str, observed: str, least: float = TOKEN_LEAST, window: i
         counts = dict.fromkeys(FIDELITY_COUNTS, 0) | {k: len(e) for k in FIDELITY_COUNTS if "missing" in k}
         counts |= {k: len(o) for k in ("extra_word_count", "leading_extra_token_count", "trailing_extra_token_count")}
         return dict.fromkeys(FIDELITY, 0.0) | counts
-    operations = [x[0] for x in token_operations(e, o, least)]
+    costs = TokenCosts(e, o, least)
+    operations = [x[0] for x in costs.operations()]
     hits = operations.count("match")
     edge = min(len(e), max(1, window))
     seen = min(len(o), edge + max(0, slack))
-    at_start, at_end = (sum(x[0] == "match" for x in token_operations(a, b, least)) for a, b in ((e[:edge], o[:seen]), (e[-edge:], o[-seen:])))
+    at_start = len(costs.matches(slice(0, edge), slice(0, seen)))
+    at_end = len(costs.matches(slice(len(e) - edge, None), slice(len(o) - seen, None)))
     return {
         "ordered_similarity": ratio(expected, observed),
         "token_coverage": hits / len(e),
@@ -131,27 +165,30 @@ SENTENCE_TYPE = "struct<clause_count:int,clause_scores:array<double>,clause_toke
 
 
 def sentence_fidelity(clauses: list[str], word_counts: list[int], observed: str, least: float = TOKEN_LEAST, least_score: float = 55.0, short_words: int = 4, short_coverage: float = 1.0) -> dict:
-    """Agreement clause by clause. clauses: folded; word_counts: of the clauses as written."""
-    tokens = [t for c in clauses for t in c.split()]
-    place = {e: o for kind, e, o in token_operations(tokens, observed.split(), least) if kind == "match"}
-    scores, coverages, positions, at = [], [], [], 0
-    for c in clauses:
-        coverage = fidelity(c, observed, least)["token_coverage"]
-        scores.append(0.5 * partial_ratio(c, observed) + 50.0 * coverage)
-        coverages.append(coverage)
-        n = len(c.split())
-        positions.append(min((place[k] for k in range(at, at + n) if k in place), default=-1))
-        at += n
-    missing = [s < least_score or (n <= short_words and c < short_coverage) for s, c, n in zip(scores, coverages, word_counts)]
+    """Agreement clause by clause. clauses: folded; word_counts: of the clauses as written.
+
+    One table of token costs serves the whole and, by its rows, each clause.
+    """
+    sizes = np.array([len(c.split()) for c in clauses], np.int64)
+    ends = np.cumsum(sizes)
+    heard = observed.split()
+    costs = TokenCosts(" ".join(clauses).split(), heard, least)
+    first = np.full(len(clauses), -1, np.int64)  # where a clause's first matched word stands in the observed text
+    for e, o in reversed(costs.matches()):
+        first[np.searchsorted(ends, e, side="right")] = o
+    covered = np.array([len(costs.matches(slice(int(end - n), int(end)))) / n if n and heard else 0.0 for n, end in zip(sizes, ends)], float)
+    scores = 50.0 * covered + 0.5 * np.array([partial_ratio(c, observed) for c in clauses], float)
+    short = np.array(word_counts, np.int64) <= short_words
+    lost = (scores < least_score) | (short & (covered < short_coverage))
     return {
         "clause_count": len(clauses),
-        "clause_scores": scores,
-        "clause_token_coverages": coverages,
+        "clause_scores": scores.tolist(),
+        "clause_token_coverages": covered.tolist(),
         "clause_word_counts": list(word_counts),
-        "clause_positions": positions,
-        "clauses_in_order": all(0 <= a <= b for a, b in zip(positions, positions[1:])),
-        "minimum_clause_score": min(scores, default=0.0),
-        "missing_clause_count": sum(missing),
+        "clause_positions": first.tolist(),
+        "clauses_in_order": bool((first[:-1] >= 0).all() and (np.diff(first) >= 0).all()),
+        "minimum_clause_score": float(scores.min(initial=np.inf)) if len(scores) else 0.0,
+        "missing_clause_count": int(lost.sum()),
     }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..settings import Settings
 
 
 def pieces_of(spans: DataFrame, pieces: DataFrame, key: str = "session_id") -> DataFrame:
@@ -27,12 +28,14 @@ def proper_subspans(spans: DataFrame) -> DataFrame:
     return one.withColumn("shift", shifts).withColumn("sub_start", F.col("start_index") + F.col("shift")).drop("shift")
 
 
-def without_removable_edges(spans: DataFrame, pieces: DataFrame, key: str = "session_id") -> DataFrame:
+def without_removable_edges(spans: DataFrame, pieces: DataFrame, key: str = "session_id", s: Settings = Settings()) -> DataFrame:
     """(key, from_index, from_count, start_index, count): every shorter span that only removable edge pieces are missing from.
 
     pieces (key, start_index, removable). What can be reached by dropping one removable edge piece after another is
     what the removable runs at both ends allow: any part of the one with any part of the other, one piece being left.
     """
+    if not s.boundary_noise_cleanup_enabled:
+        spans = spans.where(F.lit(False))
     held = pieces_of(spans, pieces, key).groupBy(key, "start_index", "count").agg(F.count("*").alias("known"), F.min(F.when(~F.col("piece.removable"), F.col("place"))).alias("first"), F.max(F.when(~F.col("piece.removable"), F.col("place"))).alias("last"))
     held = held.where(F.col("known") == F.col("count"))
     lead = F.coalesce("first", F.col("count"))
@@ -42,21 +45,23 @@ def without_removable_edges(spans: DataFrame, pieces: DataFrame, key: str = "ses
     return cut.select(key, F.col("start_index").alias("from_index"), F.col("count").alias("from_count"), (F.col("start_index") + F.col("a")).alias("start_index"), (F.col("count") - F.col("a") - F.col("b")).alias("count"))
 
 
-def cleaner(match: Column, fidelity: Column, sentence: Column, before: Column, least_match: float = 85.0, least_share: float = 0.85) -> Column:
+def cleaner(match: Column, fidelity: Column, sentence: Column, before: Column, s: Settings, least_share: float = 0.85) -> Column:
     """Whether a span without noise may replace its source: complete, in order, and better in extras or precision."""
-    whole = (match >= least_match) & (fidelity["token_coverage"] >= least_share) & (fidelity["token_precision"] >= least_share)
+    whole = (match >= float(s.boundary_noise_cleanup_min_match_score)) & (fidelity["token_coverage"] >= least_share) & (fidelity["token_precision"] >= least_share)
     edges = (fidelity["leading_extra_token_count"] == 0) & (fidelity["trailing_extra_token_count"] == 0)
     clauses = (sentence["missing_clause_count"] == 0) & sentence["clauses_in_order"]
     better = (fidelity["extra_word_count"] < before["extra_word_count"]) | (fidelity["token_precision"] > before["token_precision"])
     return F.coalesce(whole & edges & clauses & better, F.lit(False))
 
 
-def edge_extensions(actions: DataFrame, pieces: DataFrame, most_gap: float, key: str = "session_id") -> DataFrame:
+def edge_extensions(actions: DataFrame, pieces: DataFrame, s: Settings, key: str = "session_id") -> DataFrame:
     """(key, from_index, start_index, count, side): spans with the vocal neighbour that an edge cue of their line asks for.
 
     actions (key, start_index, count, opens_with_cue, closes_with_cue); pieces (key, start_index, start_seconds,
-    end_seconds, vocal). The neighbour is at most most_gap seconds away. Each is to be reviewed by hand.
+    end_seconds, vocal). The neighbour is at most edge_cue_extension_max_gap_seconds away. Each is to be reviewed by hand.
     """
+    most_gap = float(s.edge_cue_extension_max_gap_seconds)
+    actions = actions.where(F.lit(bool(s.edge_cue_extension_enabled)))
     order = W.partitionBy(key).orderBy("start_index")
     near = pieces.select(key, F.col("start_index").alias("at"), (F.col("start_seconds") - F.lag("end_seconds").over(order)).alias("gap_before"), (F.lead("start_seconds").over(order) - F.col("end_seconds")).alias("gap_after"), F.lag("vocal").over(order).alias("vocal_before"), F.lead("vocal").over(order).alias("vocal_after"))
     ends = actions.withColumn("last", F.col("start_index") + F.col("count") - 1)
@@ -66,39 +71,40 @@ def edge_extensions(actions: DataFrame, pieces: DataFrame, most_gap: float, key:
     return more(lead, "start", 1).unionByName(more(tail, "end", 0))
 
 
-def untranscribed_pieces(spans: DataFrame, pieces: DataFrame, least_seconds: float, least_rms: float, key: str = "session_id") -> DataFrame:
+def untranscribed_pieces(spans: DataFrame, pieces: DataFrame, s: Settings, key: str = "session_id") -> DataFrame:
     """(key, start_index, count, unsafe): spans of several pieces with a long one without words that is or may be loud.
 
     pieces (key, start_index, duration_seconds, rms_dbfs, transcript, silence_rejected).
     """
-    p = F.col("piece")
+    p, least_seconds, least_rms = F.col("piece"), float(s.untranscribed_merge_min_seconds), float(s.untranscribed_merge_min_rms_dbfs)
     wordless = (F.trim(T.text(p["transcript"])) == "") | F.coalesce(p["silence_rejected"], F.lit(False))
     bad = wordless & (p["duration_seconds"] >= least_seconds) & F.coalesce(p["rms_dbfs"] >= least_rms, F.lit(True))
-    return pieces_of(spans, pieces, key).groupBy(key, "start_index", "count").agg((F.bool_or(F.coalesce(bad, F.lit(False))) & (F.count("*") > 1)).alias("unsafe"))
+    return pieces_of(spans, pieces, key).groupBy(key, "start_index", "count").agg((F.bool_or(F.coalesce(bad, F.lit(False))) & (F.count("*") > 1) & F.lit(bool(s.auto_reject_untranscribed_merge))).alias("unsafe"))
 
 
-def foreign_edges(spans: DataFrame, pieces: DataFrame, exact: DataFrame, least_seconds: float, least_rms: float, key: str = "session_id") -> DataFrame:
+def foreign_edges(spans: DataFrame, pieces: DataFrame, exact: DataFrame, s: Settings, key: str = "session_id") -> DataFrame:
     """(key, start_index, count, foreign): an edge piece shares no word with the exact text and is a sound or long and loud.
 
     exact (key, start_index, count, exact_text).
     """
     edge = (F.col("place") == 0) | (F.col("place") == F.col("count") - 1)
     at = pieces_of(spans.where("count > 1"), pieces, key).where(edge).join(exact, [key, "start_index", "count"])
-    p = F.col("piece")
+    p, least_seconds, least_rms = F.col("piece"), float(s.untranscribed_merge_min_seconds), float(s.untranscribed_merge_min_rms_dbfs)
     said = T.words(T.folded(p["transcript"]))
     apart = (F.size(said) > 0) & ~F.arrays_overlap(said, T.words(T.folded(F.col("exact_text"))))
     heard = T.is_paralinguistic(p["transcript"]) | ((p["duration_seconds"] >= max(2.0, 3.0 * least_seconds)) & F.coalesce(p["rms_dbfs"] >= least_rms, F.lit(True)))
     return at.groupBy(key, "start_index", "count").agg(F.bool_or(F.coalesce(apart & heard, F.lit(False))).alias("foreign"))
 
 
-def missing_clauses(sentence: Column, least_score: float = 55.0, short_words: int = 4, least_coverage: float = 1.0) -> Column:
+def missing_clauses(sentence: Column, s: Settings) -> Column:
     """Indexes of the clauses that score too low, or are short and not wholly covered.
 
     sentence: clause_scores, clause_token_coverages, clause_word_counts.
     """
     def missing(i: Column) -> Column:
-        short = F.get(sentence["clause_word_counts"], i) <= short_words
-        return (F.get(sentence["clause_scores"], i) < least_score) | (short & (F.get(sentence["clause_token_coverages"], i) < least_coverage))
+        short = F.get(sentence["clause_word_counts"], i) <= int(s.reliable_short_clause_max_words)
+        bare = F.get(sentence["clause_token_coverages"], i) < float(s.reliable_short_clause_min_token_coverage)
+        return (F.get(sentence["clause_scores"], i) < float(s.reliable_min_clause_score)) | (short & bare)
 
     every = F.filter(F.sequence(F.lit(-1), F.size(sentence["clause_scores"]) - 1), lambda i: i >= 0)
     return F.filter(every, missing)
@@ -122,3 +128,8 @@ def within_budgets(rows: DataFrame, groups: list[str], first: str, second: str,
 
     taken = held.select("rows", F.aggregate("rows", nothing, step, lambda s: s["kept"]).alias("kept"))
     return taken.select(F.explode(F.transform("kept", lambda i: F.get("rows", i)["row"])).alias("row")).select("row.*")
+
+
+def trims_within_budgets(trims: DataFrame, order: Column, s: Settings, key: str = "session_id") -> DataFrame:
+    """Of each session's trims (key, line_index, segment_index, ...) those that the budgets of lines and segments allow."""
+    return within_budgets(trims, [key], "line_index", "segment_index", order, int(s.intra_segment_trim_max_actions_per_line), int(s.intra_segment_trim_max_actions_per_segment))

@@ -178,7 +178,7 @@ def q50_without_noise(spark: SparkSession, d: str) -> DataFrame:
 def q51_edge_extensions(spark: SparkSession, d: str) -> DataFrame:
     at, _ = _covers(spark, d)
     actions = at.where("event_type = 'purchase'").select("session_id", "start_index", (F.col("start_index") % 2 + 1).alias("count"), (F.col("segment_id") % 2 == 0).alias("opens_with_cue"), (F.col("segment_id") % 3 == 0).alias("closes_with_cue"))
-    out = recovery.edge_extensions(actions, at.select("session_id", "start_index", "start_seconds", "end_seconds", (F.col("event_type") != "click").alias("vocal")), 6 * HOUR)
+    out = recovery.edge_extensions(actions, at.select("session_id", "start_index", "start_seconds", "end_seconds", (F.col("event_type") != "click").alias("vocal")), Settings(edge_cue_extension_max_gap_seconds=6 * HOUR))
     return out.select("session_id", *[F.col(c).cast("long").alias(c) for c in ("from_index", "start_index", "count")], "side")
 
 
@@ -186,13 +186,13 @@ def q52_unsafe_merges(spark: SparkSession, d: str) -> DataFrame:
     at, actions = _covers(spark, d)
     pieces = at.select("session_id", "start_index", (F.col("value") / 10.0).alias("duration_seconds"), (-F.col("value") / 4.0).alias("rms_dbfs"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("transcript"), (F.col("event_type") == "error").alias("silence_rejected"))
     spans3 = actions.select("session_id", "start_index", F.lit(3).alias("count"))
-    return recovery.untranscribed_pieces(spans3, pieces, 0.5, -10.0).select("session_id", F.col("start_index").cast("long").alias("start_index"), "unsafe")
+    return recovery.untranscribed_pieces(spans3, pieces, Settings(untranscribed_merge_min_rms_dbfs=-10.0)).select("session_id", F.col("start_index").cast("long").alias("start_index"), "unsafe")
 
 
 def q53_dual_budget(spark: SparkSession, d: str) -> DataFrame:
-    """At most two trims a supplier and three a part, the best first."""
-    li = parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("session_id"), F.col("l_partkey").alias("line_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trim"), (F.col("l_linenumber") % 3).alias("segment_id"), F.col("l_extendedprice").alias("score"))
-    kept = recovery.within_budgets(li, ["session_id"], "line_id", "segment_id", F.struct(-F.col("score"), F.col("trim")), 2, 8)
+    """Of a supplier's line items as trims, the dearest ones within the budgets of lines and segments."""
+    li = parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.col("l_partkey") % 50).alias("line_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trim"), (F.col("l_linenumber") % 3).alias("segment_index"), F.col("l_extendedprice").alias("score"))
+    kept = recovery.trims_within_budgets(li, F.struct(-F.col("score"), F.col("trim")), Settings())
     return kept.groupBy("session_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 

@@ -89,7 +89,7 @@ def test_scores(spark):
 
 
 def test_settings():
-    assert len(DEFAULTS) == 103 and Settings().short_line_min_score == 88.0
+    assert len(DEFAULTS) == 49 and Settings().short_line_min_score == 88.0
     assert merged({"short_line": {"min_score": 90}}).short_line_min_score == 90
     for bad in ({"reliable_min_score": 120}, {"duplicate_line_policy": "x"}, {"candidate_top_k": 1.5}, {"auto_reject_clipping": 1}):
         with pytest.raises(ValueError):

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from cueweave.operators import assignment, intervals, review, spans
+from cueweave.functions import scoring
 from cueweave.settings import Settings
 
 
@@ -102,18 +103,64 @@ def test_nearest_anchor_prefers_the_first_on_ties(spark):
     assert got == {"a": 1, "b": 1, "c": None}
 
 
-def candidate(i, score, bases, reliable=True, reason="", **more):
-    return dict({"segment_id": i, "session_id": "s", "bases": frozenset(bases), "match_score": score, "selection_score": score, "reliable": reliable, "reliability_reason": reason, "missing_clause_count": 0, "fragment_join": False, "fragment_join_provisional": False}, **more)
+def shown(spark, lines):
+    names = ["line_id", "segment_id", "session_id", "base_indices", "match_score", "selection_score", "reliable", "reliability_reason", "missing_clause_count", "fragment_join", "fragment_join_provisional", "ordinal"]
+    rows = [(k, *c, i) for k, cs in enumerate(lines) for i, c in enumerate(cs)]
+    kinds = ["long", "string", "string", "array<int>", "double", "double", "boolean", "string", "int", "boolean", "boolean", "int"]
+    found = review.pruned(spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))).collect()
+    return [[r["segment_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["line_id"] == k] for k in range(len(lines))]
 
 
-def test_worth_showing():
-    ids = lambda cs: [c["segment_id"] for c in review.worth_showing(cs)]
-    assert ids([candidate("a", 99, [1], False), candidate("b", 96, [2], False), candidate("c", 88, [3], False), candidate("d", 70, [4], False)]) == ["a", "b", "c"]
-    assert ids([candidate("a", 99, [1]), candidate("far", 60, [9]), candidate("over", 61, [1, 2])]) == ["a", "far"]
-    assert ids([candidate("big", 95, [1, 2]), candidate("part", 90, [1])]) == ["big"]
-    assert ids([candidate("a", 95, [1]), candidate("bad", 94, [1, 2], False, "MISSING_LINE_END")]) == ["a"]
-    assert ids([candidate("a", 95, [1], False), candidate("j", 50, [2, 3], False, fragment_join=True)]) == ["a", "j"]
-    assert review.worth_showing([]) == []
+def candidate(i, score, bases, reliable=True, reason="", join=False, provisional=False, missing=0, selection=None):
+    return i, "s", bases, float(score), float(score if selection is None else selection), reliable, reason, missing, join, provisional
+
+
+def test_candidates_worth_showing(spark):
+    assert shown(spark, [
+        [candidate("a", 99, [1], False), candidate("b", 96, [2], False), candidate("c", 88, [3], False), candidate("d", 70, [4], False)],
+        [candidate("a", 99, [1]), candidate("far", 60, [9]), candidate("over", 61, [1, 2])],
+        [candidate("big", 95, [1, 2]), candidate("part", 90, [1])],
+        [candidate("a", 95, [1]), candidate("bad", 94, [1, 2], False, "MISSING_LINE_END")],
+        [candidate("a", 95, [1], False), candidate("j", 50, [2, 3], False, join=True)],
+        [candidate("big", 95, [1, 2]), candidate("x", 94, [1]), candidate("x", 93, [5])],
+    ]) == [["a", "b", "c"], ["a", "far"], ["big"], ["a"], ["a", "j"], ["big"]]
+
+
+def test_candidates_against_a_step_by_step_model(spark):
+    draw = random.Random(3)
+    reasons = ["", "", "AMBIGUOUS_MATCH", "MISSING_LINE_END", "LOW_MATCH_SCORE"]
+    lines = []
+    for _ in range(150):
+        cs = []
+        for _ in range(draw.randint(1, 8)):
+            at = draw.randint(0, 6)
+            cs.append(candidate(f"x{draw.randint(0, 9)}", draw.choice([95, 90, 88, 80, 74, 60, 50, 40]), list(range(at, at + draw.randint(1, 3))), draw.random() < 0.4, draw.choice(reasons), draw.random() < 0.2, draw.random() < 0.5, draw.randint(0, 1), draw.choice([1, 2, 3])))
+        lines.append(cs)
+
+    def model(cs):
+        best = sorted(range(len(cs)), key=lambda i: (-cs[i][3], -cs[i][4], i))
+        one, ids = [], set()
+        for i in best:
+            if cs[i][0] not in ids:
+                ids.add(cs[i][0])
+                one.append(i)
+        whole = lambda i: cs[i][5] or not (cs[i][7] or cs[i][6] in scoring.INCOMPLETE_REASONS)
+        left = [i for k, i in enumerate(one) if not any(set(cs[i][2]) < set(cs[j][2]) and whole(j) for j in one[:k])]
+        steps = [(cs[a][3] - cs[b][3], k, (cs[a][3] + cs[b][3]) / 2) for k, (a, b) in enumerate(zip(left, left[1:]))]
+        cut = max([cs[left[0]][3] - 15.0] + [m for d, _, m in [max(steps)] if d >= 12.0] if steps else [cs[left[0]][3] - 15.0])
+        on = {i for i in left if cs[i][3] >= cut}
+        sure = lambda: {i for i in on if cs[i][5]}
+        if not sure():
+            on |= set(sorted((i for i in left if cs[i][8]), key=lambda i: (cs[i][9], left.index(i)))[:1])
+        if not sure():
+            on |= set([i for i in left if cs[i][5]][:1])
+        meets = lambda i, j: bool(set(cs[i][2]) & set(cs[j][2]))
+        for i in left:
+            if cs[i][5] and i not in on and not any(meets(i, j) for j in sure()):
+                on.add(i)
+        return [cs[i][0] for i in left if i in on and (cs[i][5] or cs[i][6] not in scoring.INCOMPLETE_REASONS or not any(meets(i, j) for j in sure()))]
+
+    assert shown(spark, lines) == [model(cs) for cs in lines]
 
 
 def test_review_merge_and_status(spark):
@@ -132,8 +179,8 @@ def test_duplicate_rows_share_takes_in_order(spark):
 
 
 def test_edit_sources_follow_chains_and_leave_out_cycles(spark):
-    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "segment_id string, edited_from_segment_id string")
+    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone"), ("w", "x"), *[(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(200)]], "segment_id string, edited_from_segment_id string")
     got = {r["segment_id"]: (r["source_id"], r["steps"]) for r in review.edit_sources(df).collect()}
-    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "z": ("z", 0)}
+    assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "z": ("z", 0)} | {f"n{i:03}": ("n000", i) for i in range(200)}
     rows = spark.createDataFrame([(1,), (2,), (3,), (7,)], "n int").withColumn("k", F.lit("a"))
     assert sorted((r["first"], r["last"]) for r in intervals.islands(rows, ["k"], "n").collect()) == [(1, 3), (7, 7)]
