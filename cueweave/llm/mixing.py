@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 MOST_BLOCKS = 1 << 18
 LEAST_BLOCK = 16
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 11
 
 
 def period(shares: list[int], blocks: list[int] | None = None) -> list[int]:
