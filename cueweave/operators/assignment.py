@@ -18,7 +18,8 @@ def matchable_lines(lines: DataFrame, key: str = "session_id") -> DataFrame:
 
     line_index stays that of the whole script; position counts the lines that are left.
     """
-    out = lines.where(~T.is_vocalization(F.col("line"))).withColumns({"folded": T.folded(F.col("line"), cues=True), "n_words": T.spoken_count(F.col("line"))})
+    plain = lines.withColumn("__plain", T.nfkc(F.col("line")))
+    out = plain.where(~T.is_vocalization(F.col("__plain"))).withColumns({"folded": T.folded(F.col("__plain"), cues=True), "n_words": T.spoken_count(F.col("__plain"))}).drop("__plain")
     order = W.partitionBy(key).orderBy("line_index")
     return out.withColumn("position", F.row_number().over(order) - 1).withColumn("line_count", F.count("*").over(W.partitionBy(key)))
 
@@ -29,7 +30,7 @@ def line_scores(spans: DataFrame, lines: DataFrame, key: str = "session_id") ->
     Distinct transcripts are scored against distinct lines of the session and joined back, so that a text which many
     spans share is scored once.
     """
-    said = spans.withColumn("said", T.folded(F.col("transcript")))
+    said = spans.withColumn("__plain", T.nfkc(F.col("transcript"))).withColumn("said", T.folded(F.col("__plain"))).drop("__plain")
     texts = said.select(key, "said").distinct().join(lines.select(key, "folded").distinct(), key)
     scored = texts.withColumn("match_score", fuzzy.similarity_of(F.col("folded"), F.col("said")))
     return said.join(lines, key).join(scored, [key, "said", "folded"]).drop("said", "folded")

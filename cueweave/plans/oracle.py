@@ -34,7 +34,7 @@ regions AS (SELECT g.session_id, ss, greatest(ss, a) AS se, greatest(0.0, ss - {
 
 _SPANS = f"""{_TIMELINE}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s, e, segment_id) - 1 AS i, lag(e) OVER (PARTITION BY session_id ORDER BY s, e, segment_id) AS pe FROM t),
 runs AS (SELECT *, sum(CASE WHEN greatest(0.0, s - pe) > 28800.0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY i) AS run FROM n),
-pairs AS (SELECT a.session_id, a.i, b.i - a.i + 1 AS n, a.s AS start_seconds, b.e AS end_seconds FROM runs a JOIN runs b ON a.session_id = b.session_id AND a.run = b.run AND b.i BETWEEN a.i AND a.i + 3),
+pairs AS (SELECT a.session_id, a.i, b.i - a.i + 1 AS n, a.s AS start_seconds, b.e AS end_seconds FROM runs a JOIN runs b ON a.session_id = b.session_id AND a.run = b.run AND b.i BETWEEN a.i AND a.i + 7),
 spans AS (SELECT p.session_id, p.i, p.n, any_value(p.start_seconds) AS start_seconds, any_value(p.end_seconds) AS end_seconds, string_agg(x.event_type, ' ' ORDER BY x.i) AS transcript, avg(x.value / 500.0) AS probability
   FROM pairs p JOIN runs x ON x.session_id = p.session_id AND x.i BETWEEN p.i AND p.i + p.n - 1 GROUP BY p.session_id, p.i, p.n HAVING max(x.e) - any_value(p.start_seconds) <= 259200.0)"""
 

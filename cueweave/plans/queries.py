@@ -16,7 +16,7 @@ from .bindings import script, takes, timeline
 
 HOUR = 3600.0
 #: The events' gaps are hours, not seconds; so are these limits.
-SLOW = Settings(max_merge_gap_seconds=8 * HOUR, max_span_seconds=72 * HOUR, max_merge_segments=4, fragment_join_max_segments=4)
+SLOW = Settings(max_merge_gap_seconds=8 * HOUR, max_span_seconds=72 * HOUR)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scoring
-from ..operators import assignment, display, intervals, recovery, review, spans, takes
+from ..operators import assignment, display, intervals, prompts, recovery, review, spans, takes
 from ..settings import Settings
 from ..sources.tables import parquet
+from . import bindings
 from .bindings import timeline
 
 HOUR = 3600.0
@@ -234,4 +235,20 @@ def q58_take_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("line_id", "segment_id", F.col("group").cast("long").alias("group"), F.col("place").cast("long").alias("place"))
 
 
+def _heard(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A conversation's turns at odd places as segments, the others as its script."""
+    turns = bindings.takes(spark, d)
+    lines = turns.where("base_index % 2 = 0").select("session_id", F.col("base_index").alias("line_index"), F.col("transcript").alias("line"))
+    return turns.where("base_index % 2 = 1").select("session_id", "segment_id", "transcript"), lines
+
+
+def q59_prompt_candidates(spark: SparkSession, d: str) -> DataFrame:
+    found = prompts.prompt_candidates(*_heard(spark, d), most_words=40, k=3)
+    return found.select("segment_id", F.col("rank").cast("long").alias("rank"), "line_index", F.round("score", 6).alias("score"))
+
+
+def q60_best_script_score(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.best_script_score(*_heard(spark, d)).select("segment_id", F.round("script_score", 6).alias("script_score"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
