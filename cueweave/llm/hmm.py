@@ -5,18 +5,18 @@ other word belongs to one of `classes` hash classes, and a state emits the class
 P(w | state) = B[state, symbol(w)] * (c(w) + 1) / (C + V + 1), with C tokens and V words of the class in training and one
 unseen word's share left. So B is bounded whatever the vocabulary, and the probabilities of a state still sum to one.
 
-Training: word counts over all training texts; a start from a bounded sample; then Baum-Welch rounds over all training
-texts, whose expected counts are summed on the executors and by key, so that the driver gets one model's worth. For
-these rounds only, texts of more than SEGMENT tokens are cut, which bounds the memory of the backward pass and loses one
-transition in SEGMENT of such a text. Scoring runs the scaled forward recursion over each whole text. Scores don't depend
-on how rows are dealt out, but for the rounding of sums.
+Training: word counts over all training texts; a start from the counts of all their first symbols and pairs of adjacent
+symbols; then Baum-Welch rounds over all training texts. Expected counts are summed on the executors and by key, so that
+the driver gets one model's worth. For the last rounds only, texts of more than SEGMENT tokens are cut, which bounds the
+memory of the backward pass and loses one transition in SEGMENT of such a text. Scoring runs the scaled forward recursion
+over each whole text. Scores don't depend on how rows are dealt out, but for the rounding of sums.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,8 @@ END = "\n"  # no word holds white space
 SEGMENT = 4096
 BATCH = 2048
 CELLS = 1 << 19  # tokens, with padding, whose states are held at a time
+PAIRS = 1 << 21  # pairs of symbols that a task holds before it counts them
+BLOCKS = 1024  # a pair's counts meet by its number's remainder
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -46,7 +48,7 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class Hmm:
     first: np.ndarray  # [K]: state of a text's first token
-    later: np.ndarray  # [K]: state of the first token of a later segment; used in training only
+    later: np.ndarray  # [K]: state of the first token of a later segment or of a pair; used in training only
     move: np.ndarray  # [K, K]
     emit: np.ndarray  # [symbols, K]: P(symbol | state), by symbol
 
@@ -116,6 +118,28 @@ def expected(model: Hmm, parts: list[tuple[bool, np.ndarray]], into: Hmm) -> Non
             into.emit[:, s] += np.bincount(flat, alpha[:, :, s][mask], len(into.emit))
 
 
+def expected_of_pairs(model: Hmm, at: np.ndarray, c: np.ndarray, into: Hmm) -> None:
+    """Add the expected counts of pairs, the k-th of them c[k] times. at: see pair_counts."""
+    n = model.sizes[0]
+    a, b = at // n, at % n
+    begins = a == n
+    firsts, times = b[begins], c[begins]
+    a, b, c = a[~begins], b[~begins], c[~begins]
+    right = model.emit[b]
+    ahead = right @ model.move.T
+    left = model.later * model.emit[a]
+    left *= (c / (left * ahead).sum(1))[:, None]
+    into.move += model.move * (left.T @ right)
+    right *= left @ model.move
+    left *= ahead
+    into.later += left.sum(0)
+    alone = model.first * model.emit[firsts]
+    alone *= (times / alone.sum(1))[:, None]
+    into.first += alone.sum(0)
+    for s in range(len(model.first)):
+        into.emit[:, s] += np.bincount(a, left[:, s], n) + np.bincount(b, right[:, s], n) + np.bincount(firsts, alone[:, s], n)
+
+
 def log10_likelihood(model: Hmm, docs: list[np.ndarray]) -> np.ndarray:
     """Exact log10 probability of each sequence of symbols, by the scaled forward recursion."""
     out = np.zeros(len(docs))
@@ -267,58 +291,108 @@ def _arrays(column: pa.Array, wide: bool) -> list[np.ndarray]:
     return [np.frombuffer(b, np.int32 if wide else np.int16) for b in column.to_pylist()]
 
 
-def baum_welch_round(training: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
-    """One round over all rows of training (symbols): expected counts are summed in each task, then by key."""
-    wide = model.sizes[0] > 1 << 15
+def one_round(rows: DataFrame, model: Hmm, prior: np.ndarray, add: Callable[[Hmm, pa.RecordBatch, Hmm], None]) -> Hmm:
+    """The model after one round over all rows: the expected counts that add finds are summed in each task, then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = model.zeros(), False
         for batch in batches:
             if batch.num_rows:
                 some = True
-                expected(model, segments(_arrays(batch.column("symbols"), wide)), total)
+                add(model, batch, total)
         if some:
             flat = total.flat()
             at = np.flatnonzero(flat)
             for k in range(0, len(at), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 14)]), pa.array(flat[at[k : k + (1 << 14)]])], names=["at", "x"])
 
-    summed = training.select("symbols").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    summed = rows.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     flat = np.zeros(len(model.flat()))
     flat[summed["at"].to_numpy(np.int64)] = summed["x"].to_numpy(float)
     return model.unflat(flat).normalised(prior)
 
 
-def started(training: DataFrame, lex: Lexicon, states: int, sample: int, rounds: int) -> Hmm:
-    """A start for Baum-Welch: a sticky random model, fitted on a sample of texts, chosen by a hash of ids and texts.
+def baum_welch_round(training: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
+    """One round over all rows of training (symbols)."""
+    wide = model.sizes[0] > 1 << 15
+    return one_round(training.select("symbols"), model, prior, lambda model, batch, total: expected(model, segments(_arrays(batch.column("symbols"), wide)), total))
+
+
+def pair_counts(training: DataFrame, symbols: int) -> DataFrame:
+    """(at, c), packed arrays: how often b follows a in training, at a * symbols + b; a is `symbols` where b is a text's first.
+
+    Whole counts over all rows, at most symbols * (symbols + 1) of them, however many rows. Those of a partition are
+    held as a table, so that they fit in 8 * symbols^2 bytes over the number of shuffle partitions.
+    """
+    wide = symbols > 1 << 15
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            at, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            by = np.argsort(at % BLOCKS, kind="stable")
+            at, c = at[by], c[by]
+            blocks, begin = np.unique(at % BLOCKS, return_index=True)
+            cells = [np.split(x.astype(np.int32), begin[1:]) for x in (at // BLOCKS, c)]
+            return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in cells)], names=["block", "cell", "c"])
+
+        for batch in batches:
+            for s in _arrays(batch.column("symbols"), wide):
+                s = s.astype(np.int64)
+                held.append(np.r_[symbols, s[:-1]] * symbols + s)
+                size += len(s)
+                if size >= PAIRS:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
-    At most 2 * sample distinct texts reach the driver; the rounds over all texts follow.
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cell, c in zip(*(batch.column(x).to_pylist() for x in ("block", "cell", "c"))):
+                if block not in held:
+                    held[block] = np.zeros(symbols * (symbols + 1) // BLOCKS + 1, np.int64)
+                held[block][np.frombuffer(cell, np.int32)] += np.frombuffer(c, np.int32)
+        for block, table in held.items():
+            cell = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([(cell * BLOCKS + block).tobytes()], pa.binary()), pa.array([table[cell].tobytes()], pa.binary())], names=["at", "c"])
+
+    found = training.select("symbols").mapInArrow(run, "block int, cell binary, c binary")
+    return found.repartition("block").mapInArrow(total, "at binary, c binary")
+
+
+def started(training: DataFrame, lex: Lexicon, states: int, rounds: int) -> Hmm:
+    """A start for Baum-Welch: a sticky random model, fitted to the first symbols and the pairs of all training texts.
+
+    That is, to segments of one and of two tokens. A round's work is bounded by the square of the number of symbols.
     """
     prior, draw = lex.prior(), np.random.default_rng(42)
     emit = prior[:, None] * draw.gamma(2.0, size=(lex.symbols, states))
     move = np.full((states, states), 0.2 / max(1, states - 1)) + 0.8 * np.eye(states)
     even = np.full(states, 1 / states)
     model = Hmm(even, even, move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    share = min(1.0, sample / max(1, training.count()))
-    hashed = F.xxhash64("doc_id", "symbols")
-    picked = training.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30))).select(hashed.alias("hash"), "symbols").distinct()
-    rows = picked.orderBy("hash", "symbols").limit(2 * sample).collect()
-    kind = np.int32 if lex.symbols > 1 << 15 else np.int16
-    parts = segments([np.frombuffer(r["symbols"], kind) for r in rows])
-    for _ in range(rounds if parts else 0):
-        total = model.zeros()
-        expected(model, parts, total)
-        model = total.normalised(prior)
+    few = max(1, training.sparkSession.sparkContext.defaultParallelism)
+    pairs = cut(pair_counts(training, lex.symbols).coalesce(few))
+
+    def add(model: Hmm, batch: pa.RecordBatch, total: Hmm) -> None:
+        for at, c in zip(batch.column("at").to_pylist(), batch.column("c").to_pylist()):
+            expected_of_pairs(model, np.frombuffer(at, np.int64), np.frombuffer(c, np.int64), total)
+
+    for _ in range(0 if pairs.isEmpty() else rounds):
+        model = one_round(pairs, model, prior, add)
     return model
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, own: int = 4096, listed: int = 1 << 17, classes: int = 1024, sample: int = 500, start_rounds: int = 20, rounds: int = 2) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, own: int = 4096, listed: int = 1 << 17, classes: int = 1024, sample: int | None = None, start_rounds: int = 20, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     Texts whose crc32(id as text) mod 7 is 2 are held out of training. base_score: add-one unigram model; score: the
     hidden Markov model's log10 probability of the text. Null text counts as empty: the end alone. A null id is in
     training. Rows that repeat are scored each; an empty table gives no rows; other columns aren't read. Without training
-    texts all words are unseen.
+    texts all words are unseen. sample isn't read, since the start takes all training texts; it is kept for callers.
     """
     if classes & (classes - 1):
         raise ValueError("classes must be a power of two")
@@ -328,7 +402,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     texts = cut(symbolised(src, lex).withColumn("row", F.monotonically_increasing_id()))
     training = texts.where(~F.col("held_out"))
     prior = lex.prior()
-    model = started(training, lex, states, sample, start_rounds)
+    model = started(training, lex, states, start_rounds)
     for _ in range(rounds):
         model = baum_welch_round(training, model, prior)
     wide = lex.symbols > 1 << 15

@@ -106,3 +106,38 @@ def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark):
     a, b = (sorted((r["doc_id"] is not None, r["doc_id"], r["n_tokens"], r["score"]) for r in hmm.scores(d, **how).collect()) for d in (docs.repartition(1), docs.repartition(7)))
     assert [x[:3] for x in a] == [x[:3] for x in b]
     assert max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
+
+
+def test_pairs_are_expected_as_segments_of_one_and_two():
+    model = small(states=3, symbols=5, seed=8)
+    draw = np.random.default_rng(2)
+    docs = [draw.integers(0, 5, int(n)) for n in (1, 1, 2, 7, 30)]
+    got, want = model.zeros(), model.zeros()
+    at = np.concatenate([np.r_[5, d[:-1]] * 5 + d for d in docs])
+    hmm.expected_of_pairs(model, *np.unique(at, return_counts=True), got)
+    hmm.expected(model, [(True, d[:1]) for d in docs] + [(False, d[i : i + 2]) for d in docs for i in range(len(d) - 1)], want)
+    assert np.allclose(got.flat(), want.flat())
+
+
+def test_pairs_are_counted_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "PAIRS", 40)
+    draw = np.random.default_rng(3)
+    docs = [draw.integers(0, 50, int(n)).astype(np.int16) for n in draw.integers(1, 30, 300)]
+    want = Counter((int(a), int(b)) for d in docs for a, b in zip([50, *d], d))
+    for parts in (1, 5):
+        df = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "symbols binary").repartition(parts)
+        got = Counter()
+        for r in hmm.pair_counts(df, 50).collect():
+            for at, c in zip(np.frombuffer(r["at"], np.int64).tolist(), np.frombuffer(r["c"], np.int64).tolist()):
+                got[divmod(at, 50)] += c
+        assert got == want
+
+
+def test_the_start_takes_all_training_texts(spark):
+    """Words of two topics that appear in few texts each, as many as no small sample holds, get states by topic."""
+    rows = [(i, " ".join([f"{'ab'[i % 2]}{i % 40}", f"{'ab'[i % 2]}{(i + 2) % 40}"] * 4)) for i in range(400)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    how = dict(states=2, own=64, listed=100, classes=8, sample=1, rounds=0)
+    gain = lambda n: sum(r["score"] - r["base_score"] for r in hmm.scores(df, start_rounds=n, **how).collect())
+    assert gain(20) > gain(0) + 0.2 * sum(len(t.split()) for _, t in rows)
