@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions import text as T
-from .assignment import top_per_group
+from .assignment import TASKS, top_per_group
 
 
 def _plain(c: Column) -> Column:
@@ -23,7 +23,7 @@ def prompt_candidates(segments: DataFrame, lines: DataFrame, most_words: int, k:
     """
     short = lines.withColumn("plain", _plain(F.col("line"))).where(~T.is_vocalization(F.col("line")) & F.size(T.words(F.col("plain"))).between(1, most_words)).select(key, "line_index", "plain")
     held = segments.select(key, "segment_id", (T.text(F.col("transcript")) == "").alias("mute"), T.normalized(T.nfkc(F.col("transcript"))).alias("said"))
-    pairs = held.where("not mute").select(key, "said").distinct().join(short.select(key, "plain").distinct(), key)
+    pairs = held.where("not mute").select(key, "said").distinct().join(short.select(key, "plain").distinct(), key).repartition(TASKS, key, "said")
     scored = pairs.withColumn("score", fuzzy.weighted_ratio_of(F.col("plain"), F.col("said"))).join(short, [key, "plain"])
     best = top_per_group(scored, [key, "said"], k, F.desc("score"), F.asc("line_index")).select(key, "said", "rank", "line_index", "score")
     first = top_per_group(short, [key], k, F.asc("line_index")).select(key, "rank", "line_index", F.lit(None).cast("double").alias("score"))
@@ -35,6 +35,6 @@ def best_script_score(segments: DataFrame, lines: DataFrame, key: str = "session
     """(key, segment_id, script_score): the best plain ratio of a segment's words to any line's; 0 without words or lines."""
     held = segments.select(key, "segment_id", T.normalized(T.nfkc(F.col("transcript"))).alias("said"))
     plain = lines.select(key, _plain(F.col("line")).alias("plain")).where("plain <> ''").distinct()
-    scored = held.where("said <> ''").select(key, "said").distinct().join(plain, key).withColumn("score", fuzzy.similarity_of(F.col("plain"), F.col("said")))
+    scored = held.where("said <> ''").select(key, "said").distinct().join(plain, key).repartition(TASKS, key, "said").withColumn("score", fuzzy.similarity_of(F.col("plain"), F.col("said")))
     best = scored.groupBy(key, "said").agg(F.max("score").alias("script_score"))
     return held.join(best, [key, "said"], "left").select(key, "segment_id", F.coalesce("script_score", F.lit(0.0)).alias("script_score"))

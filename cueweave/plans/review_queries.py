@@ -237,7 +237,7 @@ def q58_take_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _heard(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A conversation's turns at odd places as segments, the others as its script."""
-    turns = bindings.takes(spark, d)
+    turns = bindings.takes(spark, d).repartition(assignment.TASKS, "session_id")
     lines = turns.where("base_index % 2 = 0").select("session_id", F.col("base_index").alias("line_index"), F.col("transcript").alias("line"))
     return turns.where("base_index % 2 = 1").select("session_id", "segment_id", "transcript"), lines
 
