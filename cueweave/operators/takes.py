@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,13 +49,34 @@ def exact_groups(candidates: DataFrame, line: str = "line_id") -> DataFrame:
     return out.withColumn("group", F.dense_rank().over(W.partitionBy(line).orderBy("__first"))).drop("__first")
 
 
+def root_of(a: list[int], b: list[int], by: list[float]) -> list[int]:
+    """For nodes from a to b, b > a, in order: the place of the root that each joins, its own for a root."""
+    starts, roots = [], []  # by start; roots share nothing, so their ends are in order too
+    for i, (low, high) in enumerate(zip(a, b)):
+        at = bisect_left(starts, high)
+        if not at or b[roots[at - 1]] <= low:
+            starts.insert(at, low)
+            roots.insert(at, i)
+    out = []
+    for low, high in zip(a, b):
+        at, best = bisect_left(starts, high) - 1, None
+        while at >= 0 and b[roots[at]] > low:
+            r = roots[at]
+            rank = (max(low, a[r]) - min(high, b[r]), abs(low + high - a[r] - b[r]), by[r], r)
+            best = rank if best is None else min(best, rank)
+            at -= 1
+        out.append(best[3])
+    return out
+
+
 def take_groups(candidates: DataFrame, line: str = "line_id") -> DataFrame:
     """candidates with group and place: variants of one take are together, the clearest performance first.
 
     candidates as for exact_groups, with start_seconds, end_seconds, isolation and repeated. Candidates of equal session
     and times are one node. In the order of repeated takes, then score + ISOLATION_WEIGHT * isolation, then isolation, a
     node that overlaps no root before it is a root; each other joins the root that covers the largest part of it, then
-    the one whose middle is nearer. One fold over the nodes of a line and session, in the engine.
+    the one whose middle is nearer. Roots share nothing, so a node's roots are found by bisection (root_of), over the
+    nodes of a line and session; nodes without times or length, or without a priority, are folded in the engine.
     """
     micros = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
     rows = candidates.withColumns({"__a": micros("start_seconds"), "__b": micros("end_seconds")})
@@ -69,7 +93,16 @@ def take_groups(candidates: DataFrame, line: str = "line_id") -> DataFrame:
         near = lambda r, i: F.struct((-shared(x, r)).alias("far"), F.abs(x["a"] + x["b"] - r["a"] - r["b"]).alias("off"), r["by"].alias("by"), i.alias("i"), r["a"].alias("a"), r["b"].alias("b"))
         return F.array_min(F.transform(F.col("roots"), near))
 
-    joined = held.withColumn("roots", roots).select(line, "session_id", F.explode(F.transform("n", lambda x: F.struct(x["a"].alias("__a"), x["b"].alias("__b"), owner(x).alias("o")))).alias("x"))
+    @F.pandas_udf("array<int>")
+    def places(a: pd.Series, b: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([root_of(x.tolist(), y.tolist(), z.tolist()) for x, y, z in zip(a, b, by)])
+
+    field = lambda name: F.when(F.col("plain"), F.transform("n", lambda x: x[name])).otherwise(F.array())
+    held = held.withColumn("plain", F.forall("n", lambda x: F.coalesce((x["b"] > x["a"]) & ~F.isnan(x["by"]) & x["by"].isNotNull(), F.lit(False))))
+    held = held.withColumn("at", places(field("a"), field("b"), field("by")))
+    pair = lambda x, o: F.struct(x["a"].alias("__a"), x["b"].alias("__b"), F.struct(o["a"].alias("a"), o["b"].alias("b")).alias("o"))
+    found = F.when(F.col("plain"), F.transform("n", lambda x, i: pair(x, F.get("n", F.get("at", i))))).otherwise(F.transform("n", lambda x: pair(x, owner(x))))
+    joined = held.withColumn("roots", F.when(F.col("plain"), F.slice("n", 1, 0)).otherwise(roots)).select(line, "session_id", F.explode(found).alias("x"))
     joined = joined.select(line, "session_id", "x.__a", "x.__b", F.col("x.o.a").alias("__ra"), F.col("x.o.b").alias("__rb"))
     out = rows.join(joined, node)
     take = W.partitionBy(line, "session_id", "__ra", "__rb")

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from cueweave.functions import fuzzy
-from cueweave.operators import assignment, prompts
+from cueweave.operators import assignment, intervals, prompts, spans, takes
 
 
 def drawn(draw, n, letters="abcdefg é"):
@@ -64,3 +64,41 @@ def test_a_session_of_many_texts_is_scored_in_many_tasks(spark):
     lines = spark.createDataFrame([(0, i, f"go to the {i}") for i in range(20)], "session_id int, line_index int, line string")
     plan = prompts.prompt_candidates(turns, lines, 40, 3)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_long_edits_are_dealt_into_few_buckets(spark):
+    hour = 48_000 * 3600
+    base = [("s", i * hour, (i + 30) * hour, i) for i in range(400)]
+    edits = [("s", i * hour + 5, (i + 30 + i % 3) * hour, i % 4) for i in range(400)]
+    began = time.time()
+    out = spans.manual_segments(spark.createDataFrame(edits, "session_id string, start_sample long, end_sample long, line_id long"), spark.createDataFrame(base, "session_id string, start_sample long, end_sample long, base_index int")).collect()
+    assert time.time() - began < 30  # in buckets of a minute each interval has 1,800 rows, and each bucket all pairs
+    got = {(r["start_sample"], r["end_sample"]): r["base_indices"] for r in out}
+    assert got == {(a, b): [i for _, x, y, i in base if a < y and b > x] for _, a, b, _ in edits}
+
+
+def test_roots_by_bisection_are_those_of_a_loop():
+    draw = random.Random(5)
+    for _ in range(200):
+        a = [draw.randint(0, 40) for _ in range(draw.randint(1, 30))]
+        b = [x + draw.randint(1, 9) for x in a]
+        by = [float(draw.randint(0, 3)) for _ in a]
+        shared = lambda i, j: max(0, min(b[i], b[j]) - max(a[i], a[j]))  # noqa: B023, E731
+        roots = []
+        for i in range(len(a)):
+            if not any(shared(i, r) for r in roots):
+                roots.append(i)
+        assert takes.root_of(a, b, by) == [min(roots, key=lambda r: (-shared(i, r), abs(a[i] + b[i] - a[r] - b[r]), by[r], r)) for i in range(len(a))]
+
+
+def test_nodes_without_length_are_still_grouped(spark):
+    rows = [(1, f"x{i}", "s", 50.0 + i, 0.0, False, i, at, end, alone, False) for i, (at, end, alone) in enumerate([(1.0, 4.0, 1.0), (2.0, 2.0, 0.5), (3.0, 6.0, 0.0), (None, 5.0, 0.0)])]
+    df = spark.createDataFrame(rows, "line_id int, segment_id string, session_id string, score double, selection_score double, manual_edit boolean, ordinal int, start_seconds double, end_seconds double, isolation double, repeated boolean")
+    timed = {r["segment_id"]: r["group"] for r in takes.take_groups(df.where("start_seconds is not null")).collect()}
+    assert timed == {"x0": 1, "x1": 2, "x2": 1}
+
+
+def test_nearest_sorts_shares_of_the_input(spark):
+    rows = spark.createDataFrame([(k, float(i), i) for k in range(3) for i in range(9)], "k int, start double, id int")
+    anchors = rows.select("k", F.col("start").alias("anchor_start"), F.col("id").alias("anchor_order")).where("id % 4 = 0")
+    assert "REPARTITION_BY_NUM" in intervals.nearest(rows, anchors, ["k"])._jdf.queryExecution().executedPlan().toString()
